@@ -41,6 +41,11 @@ def micros(c: str | Column) -> Column:
     return F.unix_micros(col(c).cast("timestamp"))
 
 
+def both_from(a: Column, b: Column) -> Column:
+    """The later of two times, NULL if either is (``greatest`` alone passes over NULL)."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """IEEE division: a/0 is an infinity of a's sign, 0/0 is missing."""
     zero = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.columns import micros, packed, present, tidy, unpacked
+from gridwright.functions.columns import both_from, micros, packed, present, tidy, unpacked
 from gridwright.operators import history, known_at, profile, spikes
 from gridwright.operators.series import counting, on_grid, trailing_totals
 from gridwright.session import staged, table
@@ -22,12 +22,12 @@ def _picks_known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     picks = table(spark, d, "picks").select("pick_id", F.upper(F.trim("index_name")).alias("index_name"), tidy("symbol").alias("symbol"), "picked_at")
     snaps = table(spark, d, "symbol_snapshots").withColumn("symbol", tidy("symbol"))
     values = ["snapshot_id", "report_asof", "pe", "industry"]
-    due = known_at.due_intervals(snaps.where(F.col("symbol").isNotNull()), ["symbol"], F.greatest(micros(unpacked("report_asof")), micros("loaded_at") + 0 * F.col("report_asof")), [F.col("report_asof"), F.col("loaded_at")], values)
+    due = known_at.due_intervals(snaps.where(F.col("symbol").isNotNull()), ["symbol"], both_from(micros(unpacked("report_asof")), micros("loaded_at")), [F.col("report_asof"), F.col("loaded_at")], values)
     snapshot = known_at.known_at(picks, "pick_id", micros("picked_at"), {"symbol": F.col("symbol")}, due, values)
     log = table(spark, d, "index_changes")
     change = lambda who, held: log.select("change_id", F.upper(F.trim("index_name")).alias("index_name"), tidy(who).alias("symbol"), "change_date", "recorded_at", F.lit(held).alias("is_member"))
     changes = change("removed", 0).unionByName(change("added", 1)).where(F.col("symbol").isNotNull() & F.col("index_name").isNotNull())
-    held = known_at.due_intervals(changes, ["symbol", "index_name"], F.greatest(micros(unpacked("change_date")), micros("recorded_at") + 0 * F.col("change_date")), [F.col("change_date"), F.col("recorded_at"), F.col("change_id")], ["is_member"])
+    held = known_at.due_intervals(changes, ["symbol", "index_name"], both_from(micros(unpacked("change_date")), micros("recorded_at")), [F.col("change_date"), F.col("recorded_at"), F.col("change_id")], ["is_member"])
     member = known_at.known_at(picks, "pick_id", micros("picked_at"), {"symbol": F.col("symbol"), "index_name": F.col("index_name")}, held, ["is_member"])
     return picks, snapshot, member
 
