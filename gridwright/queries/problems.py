@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import both_from, micros, packed, present, tidy, unpacked
-from gridwright.operators import history, known_at, profile, spikes
+from gridwright.operators import drift, history, known_at, profile, spikes
 from gridwright.operators.series import counting, on_grid, trailing_totals
 from gridwright.session import staged, table
 
@@ -267,8 +267,36 @@ WITH b AS (SELECT symbol, exchange, day, bar_id, {", ".join(f"CASE WHEN NOT isna
 """
 
 
+# 7 ---------------------------------------------------------------------------------------------------------------
+
+PRICE_ROW = {"symbol": "string", "day": "date", "adj_open": "double", "adj_high": "double", "adj_low": "double", "adj_close": "double", "volume": "double"}
+FUNDAMENTAL_ROW = {"symbol": "string", "day": "date", "pe": "double", "ps": "double", "pb": "double", "roe": "double", "net_margin": "double", "debt_to_equity": "double", "market_cap": "double", "revenue": "double", "report_event": "boolean"}
+
+
+def _file_fields(spark: SparkSession, d: str) -> DataFrame:
+    return staged(drift.signatures(table(spark, d, "raw_files")), "fields")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.scripts(_file_fields(spark, d)).select("file_id", "change_kind", "old_field", "new_field")
+
+
+def _unified(spark: SparkSession, d: str, kind: str, row: dict[str, str]) -> DataFrame:
+    fields = _file_fields(spark, d)
+    classes = drift.alias_classes(fields, drift.scripts(fields)).get(kind, {})
+    return drift.unified(table(spark, d, "raw_files"), kind, classes, row, ["feed", "file_no", "line_no"])
+
+
+def p7_prices(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d, "prices", PRICE_ROW)
+
+
+def p7_fundamentals(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d, "fundamentals", FUNDAMENTAL_ROW)
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_profile": p3_profile, "p5_found": p5_found, "p5_rules": p5_rules, "p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p6_averages": p6_averages}
+    return {"p7_found": p7_found, "p7_prices": p7_prices, "p7_fundamentals": p7_fundamentals, "p3_found": p3_found, "p3_profile": p3_profile, "p5_found": p5_found, "p5_rules": p5_rules, "p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p6_averages": p6_averages}
 
 
 def oracle_sql() -> dict:
