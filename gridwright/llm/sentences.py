@@ -10,6 +10,7 @@ candidate is a boundary if its chance of being a paragraph end is near that of s
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,14 @@ class Model:
 
     def score(self, features: list[str]) -> float:
         w = self.weights
-        return sum(w.get(f, 0.0) for f in features)
+        return sum(w.get(f, 0.0) for f in chosen(features, w))
+
+
+def chosen(features: list[str] | tuple[str, ...], known) -> list[str]:
+    """The features that count: a word's own (w, W) if it is well known, else those of its shape (R)."""
+    word = next((f for f in features if f[0] == "w"), None)
+    drop = "" if word is None else "R" if word in known else "wW"
+    return [f for f in features if f[0] not in drop]
 
 
 def kind_of(ch: str) -> str:
@@ -106,13 +114,14 @@ def features(s: str, m: re.Match, after: tuple[str, str], flat: bool) -> list[st
         return out
     before = _LAST.search(s, max(0, m.start() - 40), m.start())
     word = before[0].lstrip("('\"«“„¿¡[（「") if before else ""
-    low = word.lower()
+    # a single letter keeps its case: an initial is no word
+    low = word if len(word) == 1 and not flat else word.lower()
     if any(c.isdigit() for c in low):
         return [*out, f"d{kind}", f"D{token}"]
     earlier = _LAST.search(s, max(0, (before.start() if before else m.start()) - 12), before.start() - 1) if before and before.start() > 1 else None
     chain = earlier[0].lower().lstrip("('\"«“„¿¡[") if earlier and earlier[0].endswith(".") else ""
     shape = f"{min(len(low), 4)}{'.' if '.' in low else ''}{kind_of(word[:1]) if not flat else 'X'}"
-    return [*out, f"w{low}", f"W{chain}{low}", f"s{shape}", *([] if kind in "LX" else [f"S{shape}{kind}"])]
+    return [*out, f"w{low}", f"W{chain}{low}", f"R{shape}", f"R{shape}{kind}"]
 
 
 def candidates(s: str, flat: bool) -> Iterator[re.Match]:
@@ -224,24 +233,31 @@ def examples(text: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
             yield True, tuple(features(s, last, after, flat)), " ".join(s[max(0, end - 14) : end].split()) + "|" + after[0]
 
 
-def fit(rows: list[tuple[bool, tuple[str, ...]]], rounds: int = 300, penalty: float = 2e-5) -> Model:
+def fit(rows: list[tuple[bool, tuple[str, ...]]], rounds: int = 300, penalty: float = 2e-5, common: int = 12) -> Model:
     """A maximum-entropy model of being a paragraph end, by gradient steps on the whole sample, and the score that parts boundaries.
 
-    With none or only one class of rows every candidate counts as a boundary.
+    A word in fewer than ``common`` rows counts by its shape. With none or only one class of rows every candidate counts as a boundary.
     """
     good = np.array([r[0] for r in rows], float)
     if not len(rows) or good.all() or not good.any():
         return Model({}, -1.0)
+    seen = Counter(f for r in rows for f in r[1] if f[0] == "w")
+    known = {f for f, n in seen.items() if n >= common}
     names: dict[str, int] = {}
-    index = [[names.setdefault(f, len(names)) for f in r[1]] for r in rows]
+    index = [[names.setdefault(f, len(names)) for f in chosen(r[1], known)] for r in rows]
     width = max(map(len, index))
     x = np.array([i + [len(names)] * (width - len(i)) for i in index])
     n, k = len(rows), len(names) + 1
-    w, m1, m2 = np.zeros(k), np.zeros(k), np.zeros(k)
+    # before any evidence, a small letter after an unknown word's point is taken for a continuation
+    prior = np.zeros(k)
+    for f, i in names.items():
+        if f[0] == "R" and f.endswith("L") and f[-2].isupper():
+            prior[i] = -2.0
+    w, m1, m2 = prior.copy(), np.zeros(k), np.zeros(k)
     flat = x.ravel()
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-w[x].sum(axis=1)))
-        g = np.bincount(flat, np.repeat((p - good) / n, width), k) + penalty * w
+        g = np.bincount(flat, np.repeat((p - good) / n, width), k) + penalty * (w - prior)
         g[-1] = 0.0
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
