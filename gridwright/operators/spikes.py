@@ -134,7 +134,7 @@ def flag(readings: DataFrame, source: list[str], key: str, order: str, tails: di
         keys, names, found = [], [], []
         for i, f in enumerate(fields):
             values = table.column(f"_f{i}").to_numpy(zero_copy_only=False).astype(float)[ranks]
-            wrong = table.column(f"_i{i}").to_numpy(zero_copy_only=False).astype(bool)[ranks]
+            wrong = table.column(f"_i{i}").to_numpy(zero_copy_only=False).astype(bool)[ranks] & ~np.isnan(values)
             spike, same = judge(values, season, tails[f])
             hit = np.flatnonzero(spike | same | wrong)
             keys.append(ranks[hit])

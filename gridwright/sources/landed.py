@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col, present
+from gridwright.sources.files import to_day
 
 ROW = ["symbol", "day", "adj_open", "adj_high", "adj_low", "adj_close", "volume"]
 
@@ -23,7 +24,7 @@ def daily_objects(raw: DataFrame, symbol: str, body: str) -> DataFrame:
     adj = F.coalesce(_number(F.col("_j"), "adjClose", "adj_close", "adjusted_close"), close)
     scale = adj / F.nullif(close, F.lit(0.0))
     part = lambda given, plain: F.coalesce(_number(F.col("_j"), given), _number(F.col("_j"), plain) * scale)
-    day = F.to_date(F.substring(F.coalesce(F.get_json_object("_j", "$.date"), F.get_json_object("_j", "$.day")), 1, 10))
+    day = to_day(F.substring(F.coalesce(F.get_json_object("_j", "$.date"), F.get_json_object("_j", "$.day")), 1, 10))
     out = one.select("symbol", day.alias("day"), part("adjOpen", "open").alias("adj_open"), part("adjHigh", "high").alias("adj_high"), part("adjLow", "low").alias("adj_low"), adj.alias("adj_close"), _number(F.col("_j"), "volume", "adjVolume").alias("volume"))
     return out.where(F.col("day").isNotNull()).groupBy("symbol", "day").agg(F.max(F.struct(*ROW[2:])).alias("_r")).select("symbol", "day", "_r.*")
 
