@@ -11,15 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col, present
+from gridwright.session import staged
 
 AXES = ["day", "symbol", "ord"]
 
 
 def to_panel(df: DataFrame, day: Column, symbol: Column, series: dict[str, Column], grain: str = "day") -> DataFrame:
-    """A fact table as a dense panel: ``series`` are aggregates per (day, symbol); ``grain`` 'month' dates rows by month ends."""
+    """A fact table as a dense panel: ``series`` are aggregates per (day, symbol); ``grain`` 'month' dates rows by month ends.
+
+    The facts are read once: their cells, far smaller, are kept in the shared folder, from which calendar, symbols and grid are made.
+    """
     at = F.last_day(day.cast("date")) if grain == "month" else day.cast("date")
     cells = df.select("*", at.alias("_day"), symbol.cast("string").alias("_symbol")).where(F.col("_day").isNotNull() & F.col("_symbol").isNotNull())
-    return densify(cells.groupBy(F.col("_day").alias("day"), F.col("_symbol").alias("symbol")).agg(*[present(v).alias(n) for n, v in series.items()]))
+    return densify(staged(cells.groupBy(F.col("_day").alias("day"), F.col("_symbol").alias("symbol")).agg(*[present(v).alias(n) for n, v in series.items()]), "cells"))
 
 
 def densify(cells: DataFrame) -> DataFrame:
