@@ -233,7 +233,7 @@ def examples(text: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
             yield True, tuple(features(s, last, after, flat)), " ".join(s[max(0, end - 14) : end].split()) + "|" + after[0]
 
 
-def fit(rows: list[tuple[bool, tuple[str, ...]]], rounds: int = 300, penalty: float = 2e-5, common: int = 12) -> Model:
+def fit(rows: list[tuple[bool, tuple[str, ...]]], rounds: int = 300, penalty: float = 2.0, common: int = 25) -> Model:
     """A maximum-entropy model of being a paragraph end, by gradient steps on the whole sample, and the score that parts boundaries.
 
     A word in fewer than ``common`` rows counts by its shape. With none or only one class of rows every candidate counts as a boundary.
@@ -257,7 +257,7 @@ def fit(rows: list[tuple[bool, tuple[str, ...]]], rounds: int = 300, penalty: fl
     flat = x.ravel()
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-w[x].sum(axis=1)))
-        g = np.bincount(flat, np.repeat((p - good) / n, width), k) + penalty * (w - prior)
+        g = np.bincount(flat, np.repeat((p - good) / n, width), k) + penalty / n * (w - prior)
         g[-1] = 0.0
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
