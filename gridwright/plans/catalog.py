@@ -132,3 +132,8 @@ def schema() -> list[dict]:
     calls = [{"tag": t, "form": "call", "name": n, "args": dict(a), "defaults": {k: DEFAULTS[k] for k in a if k in DEFAULTS}} for n, (t, a) in CALLS.items()]
     infix = [{"tag": t, "form": "infix", "name": s, "args": {"l": "expr", "r": "expr"}} for s, (t, _) in INFIX.items()]
     return leaves + calls + infix + [{"tag": t, "form": "prefix", "name": s, "args": {"of": "expr"}} for s, t in PREFIX.items()]
+
+
+def within(n: Node, membership: str) -> Node:
+    """The expression held to the members of an index: multiplied by whether its membership series is at least a half."""
+    return node("Mul", l=n, r=node("Ge", l=data(membership), r=const(0.5)))
