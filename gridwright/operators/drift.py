@@ -277,6 +277,22 @@ def alias_classes(fields: DataFrame, changes: DataFrame) -> dict[str, dict[str,
     return out
 
 
+def settled(changes: DataFrame, classes: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """``changes`` with what was removed and added in one file under two names of one class as a rename, too.
+
+    A quantity whose values jump from a file to the next is still known by its names where other feeds renamed it.
+    """
+    spark = changes.sparkSession
+    rows = [(k, n, c) for k, own in classes.items() for c, names in own.items() for n in names if len(names) > 1]
+    named = spark.createDataFrame(rows, "kind string, name string, class string")
+    gone = changes.where("change_kind = 'removed'").join(named.withColumnRenamed("name", "old_field"), ["kind", "old_field"]).select(*FILE, "old_field", "class")
+    come = changes.where("change_kind = 'added'").join(named.withColumnRenamed("name", "new_field"), ["kind", "new_field"]).select(*FILE, "new_field", "class")
+    more = gone.join(come, [*FILE, "class"]).groupBy(*FILE, "class").agg(F.min("old_field").alias("old_field"), F.min("new_field").alias("new_field"))
+    more = more.select(*FILE, F.lit("renamed").alias("change_kind"), "old_field", "new_field")
+    lost = more.select(*FILE, F.explode(F.array(F.struct(F.lit("removed").alias("change_kind"), F.col("old_field"), F.lit("").alias("new_field")), F.struct(F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), F.col("new_field")))).alias("x")).select(*FILE, "x.*")
+    return changes.join(lost, [*FILE, "change_kind", "old_field", "new_field"], "left_anti").unionByName(more)
+
+
 def unified(raw: DataFrame, kind: str, classes: dict[str, list[str]], targets: dict[str, str], keep: list[str]) -> DataFrame:
     """The readable lines of a kind as one table: ``keep`` columns and a column per target (name -> double, date, string or boolean).
 

@@ -278,7 +278,9 @@ def _file_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.scripts(_file_fields(spark, d)).select("file_id", "change_kind", "old_field", "new_field")
+    fields = _file_fields(spark, d)
+    changes = staged(drift.scripts(fields), "changes")
+    return drift.settled(changes, drift.alias_classes(fields, changes)).select("file_id", "change_kind", "old_field", "new_field")
 
 
 def _unified(spark: SparkSession, d: str, kind: str, row: dict[str, str]) -> DataFrame:

@@ -56,6 +56,18 @@ def test_files(spark):
     assert {str(r["day"]) for r in rows if r["day"]} == {"2024-01-01", "2024-01-02", "2024-01-03"}
 
 
+def test_known_names_settle_a_jump(spark):
+    a = [{"sym": "A", "vol": 100.0 + k} for k in range(5)]
+    near, far = ([{"sym": "A", "shares": v + k} for k in range(5)] for v in (101.0, 9e9))
+    raw = files(spark, {"f": [a, near], "g": [a, far]})
+    sig = D.signatures(raw)
+    changes = D.scripts(sig)
+    assert sorted(tuple(r)[3:] for r in changes.collect()) == [(2, "renamed", "vol", "shares"), (4, "added", "", "shares"), (4, "removed", "vol", "")]
+    done = D.settled(changes, D.alias_classes(sig, changes))
+    assert sorted(tuple(r)[3:] for r in done.collect()) == [(2, "renamed", "vol", "shares"), (4, "renamed", "vol", "shares")]
+
+
 def test_empty(spark):
     sig = D.signatures(spark.createDataFrame([], SCHEMA))
     assert sig.count() == 0 and D.scripts(sig).count() == 0 and D.alias_classes(sig, D.scripts(sig)) == {}
+    assert D.settled(D.scripts(sig), {}).count() == 0
