@@ -27,7 +27,7 @@ _OPENERS = "'\"“”„«»(\\[（「『【〈《¿¡‹›‘‚—–\\-"
 _THAI = "฀-๿຀-໿ក-៿က-႟"
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _CANDIDATE = re.compile(rf"(?P<gap>\s?)(?P<mark>[.!?…。！？؟।॥｡．۔]+)(?P<close>(?:[{_CLOSERS}]|\s[»›]|“(?=\s|$))*)|(?<=[{_THAI}])(?P<space>\s+)(?=\S)")
-_LIST = re.compile(r"[ \t]*(?:[-*+•‣▪–—]|\(?(?:\d{1,3}|[A-Za-z])[.)])[ \t]+\S")
+_LIST = re.compile(r"[ \t]*(?:[-*+•‣▪–—]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))[ \t]+\S")
 _OPEN = re.compile(rf"[{_OPENERS}\s]*")
 _LAST = re.compile(r"\S+$")
 _FIRST = re.compile(r"[^\s.!?…,;:。，！？、؟।،؛]+")

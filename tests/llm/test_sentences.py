@@ -62,6 +62,7 @@ def test_units_are_spans_in_order(model):
 def test_lists_scripts_and_ends(model):
     text = "A: b\n\nHello,\n\n- one two\n- three. Four\n\n1. first\n2. second\n  goes on\n\nUnd so weiter ohne Ende"
     assert [text[a:b] for a, b in S.units(text, model)] == ["Hello,", "- one two", "- three. Four", "1. first", "2. second\n  goes on", "Und so weiter ohne Ende"]
+    assert not S._LIST.match("M. Runiken steht") and S._LIST.match("a) first") and S._LIST.match("(3) third")
     every = S.Model({}, -1.0)
     zh = "A: b\n\n第一句。第二句！第三句"
     assert [zh[a:b] for a, b in S.units(zh, every)] == ["第一句。", "第二句！", "第三句"]
