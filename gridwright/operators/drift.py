@@ -26,6 +26,8 @@ QUANTILES = [i / 10 for i in range(1, 10)]
 FILE = ["kind", "feed", "file_no", "file_id"]
 CELL = "kind string, feed string, file_no long, file_id long, path string, type string, num double, day boolean, flag boolean, txt string"
 _DAY = re.compile(r"(?:19|20)\d\d-?[01]\d-?[0-3]\d|[0-3]?\d[/.][0-3]?\d[/.](?:19|20)\d\d")
+# what _DAY accepts, brought to year-month-day
+DAY_LAYOUTS = {r"^\s*(\d{4})-?(\d{2})-?(\d{2})\s*$": "$1-$2-$3", r"^\s*(\d{1,2})[/.](\d{1,2})[/.](\d{4})\s*$": "$3-$2-$1"}
 _FLAGS = {"0", "1", "0.0", "1.0", "true", "false", "yes", "no", "y", "n"}
 
 
@@ -297,7 +299,8 @@ def unified(raw: DataFrame, kind: str, classes: dict[str, list[str]], targets: d
     """The readable lines of a kind as one table: ``keep`` columns and a column per target (name -> double, date, string or boolean).
 
     Each target reads the alias class that holds its name, wherever a file has it. Values that don't fit the
-    type, stray texts among numbers included, become NULL; days are read in the layouts YYYY-MM-DD, YYYYMMDD and DD/MM/YYYY. Repeated lines count once.
+    type, stray texts among numbers included, become NULL; days are read in all layouts that count as days in ``signatures``: YYYY-MM-DD with or
+    without its hyphens, D/M/YYYY and D.M.YYYY. Repeated lines count once.
     """
     lines = raw.where(F.col("kind") == kind).dropDuplicates(["file_id", "line_no"]).withColumn("_v", F.try_parse_json("body"))
     lines = lines.where(F.schema_of_variant("_v").startswith("OBJECT"))
@@ -309,7 +312,10 @@ def unified(raw: DataFrame, kind: str, classes: dict[str, list[str]], targets: d
         if to == "double":
             return text.try_cast("double")
         if to == "date":
-            return F.to_date(F.coalesce(*[F.when(F.regexp(text, F.lit(form)), F.try_to_timestamp(text, F.lit(layout))) for form, layout in ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{8}$", "yyyyMMdd"), (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"))]))
+            ordered = text
+            for form, as_iso in DAY_LAYOUTS.items():
+                ordered = F.regexp_replace(ordered, form, as_iso)
+            return F.to_date(F.when(F.regexp(ordered, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}$")), F.try_to_timestamp(ordered, F.lit("yyyy-M-d"))))
         if to == "boolean":
             return F.when(F.lower(text).isin("1", "1.0", "true", "yes", "y"), True).when(F.lower(text).isin("0", "0.0", "false", "no", "n"), False)
         return F.when(text != "", text)

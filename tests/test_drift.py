@@ -56,6 +56,14 @@ def test_files(spark):
     assert {str(r["day"]) for r in rows if r["day"]} == {"2024-01-01", "2024-01-02", "2024-01-03"}
 
 
+def test_every_day_layout_is_read(spark):
+    texts = ["2023-01-08", "20230108", 20230108, "2023-0108", "08/01/2023", "8/1/2023", "08.01.2023", "8.1.2023", "08.1.2023", " 08.01.2023 ", "\t8/1/2023\n"]
+    assert all(D._DAY.fullmatch(str(t).strip()) for t in texts)
+    raw = files(spark, {"f": [[{"day": t} for t in [*texts, "32.01.2023", "31.02.2023", "n/a", "8.1.23", None]]]})
+    got = [r["day"] for r in D.unified(raw, "p", {"day": ["day"]}, {"day": "date"}, ["line_no"]).orderBy("line_no").collect()]
+    assert [str(x) for x in got[: len(texts)]] == ["2023-01-08"] * len(texts) and got[len(texts) :] == [None] * 5
+
+
 def test_known_names_settle_a_jump(spark):
     a = [{"sym": "A", "vol": 100.0 + k} for k in range(5)]
     near, far = ([{"sym": "A", "shares": v + k} for k in range(5)] for v in (101.0, 9e9))
