@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col
@@ -279,6 +279,54 @@ def alias_classes(fields: DataFrame, changes: DataFrame) -> dict[str, dict[str,
     return out
 
 
+def columns(fields: DataFrame, kind: str, classes: dict[str, list[str]], known: dict[str, str], keep: list[str]) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """``classes`` keyed by column name, and the type of each column: what ``unified`` needs for one table without loss of a field.
+
+    ``known`` columns come first, with their types, whether a file has them or not. Each further class is a column under its canonical
+    name, of the type that most of its values have: date, double or boolean if at least 0.6 of the values fit it (the first of
+    those that fit most, so numbers that happen to be 0 and 1 stay numbers), else string. An array is one string column of JSON. A name that another column or ``keep`` has,
+    in whatever case, gets a number. Only field names and counts reach the driver.
+    """
+    sums = [F.sum(c).alias(c) for c in ("n", "n_day", "n_flag", "n_num", "n_boolean")]
+    seen = {r["path"]: r for r in fields.where(F.col("kind") == kind).groupBy("path").agg(*sums).toLocalIterator()}
+    out: dict[str, list[str]] = {}
+    types = dict(known)
+    for name in known:
+        out[name] = next((c for c in classes.values() if name in c), [name])
+    taken = {n.lower() for n in [*known, *keep]}
+    arrays: set[str] = set()
+    for canonical, names in sorted(classes.items()):
+        if any(n in names for n in known):
+            continue
+        whole = canonical.split("[]")[0]
+        if whole != canonical:
+            names = [n for n in dict.fromkeys(n.split("[]")[0] for n in names) if n not in arrays]
+            arrays.update(names)
+            if not names:
+                continue
+        name, k = whole or "_", 1
+        while name.lower() in taken:
+            k += 1
+            name = f"{whole or '_'}_{k}"
+        taken.add(name.lower())
+        total = {c: sum(seen[n][c] for n in classes[canonical] if n in seen) for c in ("n", "n_day", "n_flag", "n_num", "n_boolean")}
+        # a JSON boolean is a number to float(), but not to a double column
+        fit = {"date": total["n_day"], "double": total["n_num"] - total["n_boolean"], "boolean": total["n_flag"]}
+        best = max(fit, key=lambda t: fit[t])
+        out[name], types[name] = names, best if whole == canonical and total["n"] and fit[best] >= 0.6 * total["n"] else "string"
+    return out, types
+
+
+def _leaf(value: Column, path: str) -> Column:
+    """The text at a dotted path of a variant, whatever characters its keys hold."""
+    keys = path.split(".")
+    if all(k and not re.search(r"['?]", k) for k in keys):
+        return F.try_variant_get(value, "$" + "".join(f"['{k}']" for k in keys), "string")
+    for k in keys:
+        value = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(k))
+    return F.try_variant_get(value, "$", "string")
+
+
 def settled(changes: DataFrame, classes: dict[str, dict[str, list[str]]]) -> DataFrame:
     """``changes`` with what was removed and added in one file under two names of one class as a rename, too.
 
@@ -298,7 +346,7 @@ def settled(changes: DataFrame, classes: dict[str, dict[str, list[str]]]) -> Dat
 def unified(raw: DataFrame, kind: str, classes: dict[str, list[str]], targets: dict[str, str], keep: list[str]) -> DataFrame:
     """The readable lines of a kind as one table: ``keep`` columns and a column per target (name -> double, date, string or boolean).
 
-    Each target reads the alias class that holds its name, wherever a file has it. Values that don't fit the
+    Each target reads the alias class of its name, or else the one that holds it, wherever a file has it. Values that don't fit the
     type, stray texts among numbers included, become NULL; days are read in all layouts that count as days in ``signatures``: YYYY-MM-DD with or
     without its hyphens, D/M/YYYY and D.M.YYYY. Repeated lines count once.
     """
@@ -306,9 +354,8 @@ def unified(raw: DataFrame, kind: str, classes: dict[str, list[str]], targets: d
     lines = lines.where(F.schema_of_variant("_v").startswith("OBJECT"))
 
     def value(name: str, to: str):
-        names = next((c for c in classes.values() if name in c), [name])
-        quoted = ["$" + "".join("['" + p.replace("'", "\\'") + "']" for p in n.split(".")) for n in names]
-        text = F.trim(F.coalesce(*[F.try_variant_get("_v", q, "string") for q in quoted], F.lit(None).cast("string")))
+        names = classes[name] if name in classes else next((c for c in classes.values() if name in c), [name])
+        text = F.trim(F.coalesce(*[_leaf(F.col("_v"), n) for n in names], F.lit(None).cast("string")))
         if to == "double":
             return text.try_cast("double")
         if to == "date":

@@ -269,6 +269,7 @@ WITH b AS (SELECT symbol, exchange, day, bar_id, {", ".join(f"CASE WHEN NOT isna
 
 # 7 ---------------------------------------------------------------------------------------------------------------
 
+# names and types where they are known; every other field of the files is a column, too
 PRICE_ROW = {"symbol": "string", "day": "date", "adj_open": "double", "adj_high": "double", "adj_low": "double", "adj_close": "double", "volume": "double"}
 FUNDAMENTAL_ROW = {"symbol": "string", "day": "date", "pe": "double", "ps": "double", "pb": "double", "roe": "double", "net_margin": "double", "debt_to_equity": "double", "market_cap": "double", "revenue": "double", "report_event": "boolean"}
 
@@ -286,7 +287,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def _unified(spark: SparkSession, d: str, kind: str, row: dict[str, str]) -> DataFrame:
     fields = _file_fields(spark, d)
     classes = drift.alias_classes(fields, drift.scripts(fields)).get(kind, {})
-    return drift.unified(table(spark, d, "raw_files"), kind, classes, row, ["feed", "file_no", "line_no"])
+    keep = ["feed", "file_no", "line_no"]
+    named, types = drift.columns(fields, kind, classes, row, keep)
+    return drift.unified(table(spark, d, "raw_files"), kind, named, types, keep)
 
 
 def p7_prices(spark: SparkSession, d: str) -> DataFrame:

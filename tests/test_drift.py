@@ -64,6 +64,23 @@ def test_every_day_layout_is_read(spark):
     assert [str(x) for x in got[: len(texts)]] == ["2023-01-08"] * len(texts) and got[len(texts) :] == [None] * 5
 
 
+def test_no_field_is_thrown_away(spark):
+    one = [{"sym": "A", "px": 10.0 + k, "ratio": 1.0 if k else 2.5, "split": 1.0, "odd'key?": k + 0.5, "x": {"note": f"n{k}"}} for k in range(5)]
+    two = [{"sym": "A", "price": 10.2 + k, "halted": k > 2, "trades": str(100 + k), "since": "08.01.2023", "tags": ["u", "v"], "Feed": "z", "gone": None} for k in range(5)]
+    two[4]["halted"] = 1
+    raw = files(spark, {"f": [one, two]})
+    sig = D.signatures(raw)
+    classes = {n: [n] for n in ("sym", "ratio", "split", "odd'key?", "x.note", "halted", "trades", "since", "tags[]", "Feed", "gone")} | {"px": ["px", "price"]}
+    named, types = D.columns(sig, "p", classes, {"sym": "string", "day": "date"}, ["feed", "file_no", "line_no"])
+    assert types == {"sym": "string", "day": "date", "Feed_2": "string", "gone": "string", "halted": "boolean", "odd'key?": "double", "px": "double", "ratio": "double", "split": "double", "since": "date", "tags": "string", "trades": "double", "x.note": "string"}
+    t = D.unified(raw, "p", named, types, ["feed", "file_no", "line_no"])
+    got = {c: [r[c] for r in t.orderBy("file_no", "line_no").collect() if r[c] is not None] for c in types}
+    assert got["px"] == [10.0 + k for k in range(5)] + [10.2 + k for k in range(5)] and got["ratio"] == [2.5, 1.0, 1.0, 1.0, 1.0]
+    assert got["odd'key?"] == [k + 0.5 for k in range(5)] and got["x.note"] == [f"n{k}" for k in range(5)] and got["Feed_2"] == ["z"] * 5
+    assert got["halted"] == [False] * 3 + [True, True] and got["trades"] == [100.0 + k for k in range(5)] and [str(x) for x in got["since"]] == ["2023-01-08"] * 5
+    assert got["tags"] == ['["u","v"]'] * 5 and got["gone"] == [] and got["day"] == []
+
+
 def test_known_names_settle_a_jump(spark):
     a = [{"sym": "A", "vol": 100.0 + k} for k in range(5)]
     near, far = ([{"sym": "A", "shares": v + k} for k in range(5)] for v in (101.0, 9e9))
