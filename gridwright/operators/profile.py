@@ -3,7 +3,8 @@
 Everything is derived from one table of value counts (group, load, column,
 value, n), which is aggregated before its shuffle, so repeated values and hot groups
 collapse early. Numeric shifts between loads are described by power sums
-kept as exact decimals: they merge by adding, and "all other loads" is the total less the own sums. Medians
+kept as exact decimals: they merge by adding, and "all other loads" is the total less the own sums. Values too large for
+them are kept as count, mean and squared deviations, which merge without subtracting. Medians
 and quartiles are exact order statistics with interpolation, selected over value bins
 (``selected``), so no group is ever gathered in one task.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from gridwright.functions.columns import col, present
 
 KEYS = ["group", "load", "column_name"]
+LARGE, SQUARES = 1e12, 1e150  # beyond the first a value's square leaves the decimals, beyond the second sums of squares leave the doubles
 
 
 def value_counts(df: DataFrame, group: str, load: str, numbers: list[str], texts: list[str]) -> DataFrame:
@@ -31,13 +33,15 @@ def described(counts: DataFrame, specs: DataFrame) -> DataFrame:
 
     ``specs`` (column_name, low, high, pattern; NULL bounds and patterns forbid nothing)
     has a row per column and is joined as a dimension. Power sums p0, p1, p2 are exact over values below 1e12 in
-    magnitude, rounded to 6 decimals (n_large counts the rest); a sum beyond 38 digits is NULL. Standardised difference
-    ``std_diff`` is the mean's distance from that of the group's other loads in pooled deviations; NULL where undefined.
+    magnitude, rounded to 6 decimals (n_large counts the rest); a sum beyond 38 digits is NULL. ``mean``, ``deviation`` and
+    ``std_diff`` are of all values, the large ones included; only values from 1e150 on, whose squares have no sum in doubles,
+    count in n_large alone. Standardised difference ``std_diff`` is the mean's distance from that of the group's other loads in pooled deviations; NULL where undefined.
     """
     s = specs.select("column_name", "low", "high", "pattern").dropDuplicates(["column_name"])
     c = counts.join(s, "column_name", "left")
     there = F.col("num").isNotNull() | F.col("txt").isNotNull()
-    sized = F.when(F.abs("num") < 1e12, F.col("num").cast("decimal(19,6)"))
+    sized = F.when(F.abs("num") < LARGE, F.col("num").cast("decimal(19,6)"))
+    square = (sized * sized).cast("decimal(38,6)")  # what this rounds off is summed apart
     n = F.col("n").cast("decimal(19,0)")
     out = c.groupBy(*KEYS).agg(
         F.sum("n").alias("n_rows"),
@@ -47,17 +51,57 @@ def described(counts: DataFrame, specs: DataFrame) -> DataFrame:
         F.max("num").alias("greatest"),
         F.sum(F.when((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")), F.col("n")).otherwise(0)).alias("n_out_of_range"),
         F.sum(F.when(~F.regexp("txt", F.concat(F.lit("^(?:"), F.regexp_replace("pattern", r"^\^|\$$", ""), F.lit(r")\z"))), F.col("n")).otherwise(0)).alias("n_off_pattern"),
-        F.sum(F.when(F.abs("num") >= 1e12, F.col("n")).otherwise(0)).alias("n_large"),
+        F.sum(F.when(F.abs("num") >= LARGE, F.col("n")).otherwise(0)).alias("n_large"),
         F.sum(F.when(sized.isNotNull(), F.col("n")).otherwise(0)).alias("p0"),
         F.try_sum((sized * n).cast("decimal(38,6)")).alias("p1"),
-        F.try_sum(((sized * sized).cast("decimal(38,6)") * n).cast("decimal(38,6)")).alias("p2"),
+        F.try_sum((square * n).cast("decimal(38,6)")).alias("p2"),
+        F.try_sum((((sized * sized).cast("decimal(35,11)") - square.cast("decimal(30,6)")).cast("decimal(12,11)") * n).cast("decimal(38,11)")).alias("_p2_rest"),
     )
+    out = _with_large(out, counts)
     whole = Window.partitionBy("group", "column_name")  # one row per load
-    out = out.withColumns({f"_o{k}": F.sum(f"p{k}").over(whole) - F.col(f"p{k}") for k in range(3)})
-    mean = lambda p: F.col(f"{p}1").cast("double") / F.nullif(F.col(f"{p}0").cast("double"), F.lit(0.0))
-    var = lambda p: F.greatest(F.col(f"{p}2").cast("double") / F.nullif(F.col(f"{p}0").cast("double"), F.lit(0.0)) - mean(p) * mean(p), F.lit(0.0))
-    pooled = F.sqrt((var("p") + var("_o")) / 2)
-    return out.withColumns({"mean": mean("p"), "deviation": F.sqrt(var("p")), "std_diff": (mean("p") - mean("_o")) / F.nullif(pooled, F.lit(0.0))}).drop("_o0", "_o1", "_o2")
+    out = out.withColumns({f"_o{k}": F.sum(f"p{k}").over(whole) - F.when(F.col("p0") > 0, F.col(f"p{k}")).otherwise(0) for k in ("0", "1", "2")} | {"_o2_rest": F.sum("_p2_rest").over(whole) - F.when(F.col("p0") > 0, F.col("_p2_rest")).otherwise(0)})
+    # what loads hold of large values, beside each load: nothing where none does
+    out = out.withColumn("_all", F.collect_list(F.when(F.col("_large.n") > 0, F.struct("load", F.col("_large").alias("m")))).over(whole))
+    others = F.filter("_all", lambda x: ~x["load"].eqNullSafe(F.col("load")))
+    out = out.withColumns({"_own": _merged(_moments("p", "_p2_rest"), F.col("_large")), "_rest": F.aggregate(others, _moments("_o", "_o2_rest"), lambda acc, x: _merged(acc, x["m"]))})
+    mean = lambda m: F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.mean"))
+    var = lambda m: F.greatest(F.col(f"{m}.m2") / F.nullif(F.col(f"{m}.n"), F.lit(0.0)), F.lit(0.0))
+    pooled = F.sqrt((var("_own") + var("_rest")) / 2)
+    out = out.withColumns({"mean": mean("_own"), "deviation": F.sqrt(F.when(F.col("_own.n") > 0, var("_own"))), "std_diff": (mean("_own") - mean("_rest")) / F.nullif(pooled, F.lit(0.0))})
+    return out.drop("_o0", "_o1", "_o2", "_o2_rest", "_p2_rest", "_large", "_all", "_own", "_rest")
+
+
+def _moments(p: str, rest: str) -> Column:
+    """Count, mean and sum of squared deviations (n, mean, m2) from the power sums of prefix ``p`` and the squares' ``rest``; a sum that is NULL stays NULL."""
+    n = F.coalesce(F.col(f"{p}0"), F.lit(0)).cast("double")
+    total = lambda k: F.col(f"{p}{k}").cast("double") + (F.col(rest).cast("double") if k == 2 else F.lit(0.0))
+    part = lambda k: F.when(n > 0, total(k) / F.nullif(n, F.lit(0.0))).otherwise(0.0)
+    return F.struct(n.alias("n"), part(1).alias("mean"), (F.greatest(part(2) - part(1) * part(1), F.when(part(2).isNotNull(), 0.0)) * n).alias("m2"))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """The moments of two sets together, by adding alone; an empty set changes nothing."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    both = F.struct(n.alias("n"), (a["mean"] + apart * (b["n"] / n)).alias("mean"), (a["m2"] + b["m2"] + apart * apart * (a["n"] * (b["n"] / n))).alias("m2"))
+    return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
+
+
+def _with_large(out: DataFrame, counts: DataFrame) -> DataFrame:
+    """``out`` with ``_large``: the moments of each load's values from LARGE up to SQUARES.
+
+    Deviations are taken from one of the load's own values, so equal and close values don't cancel.
+    """
+    big = counts.where((F.abs("num") >= LARGE) & (F.abs("num") < SQUARES))
+    keyed = lambda df: [df[k].eqNullSafe(F.col(f"_{k}")) for k in KEYS]
+    renamed = [F.col(k).alias(f"_{k}") for k in KEYS]
+    at = big.groupBy(*renamed).agg(F.min("num").alias("_at"))
+    n, off = F.col("n").cast("double"), F.col("num") - F.col("_at")
+    sums = big.join(at, keyed(big)).groupBy(*[f"_{k}" for k in KEYS]).agg(F.sum(n).alias("_n"), F.first("_at").alias("_at"), F.sum(n * off).alias("_d1"), F.sum(n * off * off).alias("_d2"))
+    shift = F.col("_d1") / F.col("_n")
+    moments = F.struct(F.col("_n").alias("n"), (F.col("_at") + shift).alias("mean"), F.greatest(F.col("_d2") - F.col("_d1") * shift, F.lit(0.0)).alias("m2"))
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    large = sums.select(*[f"_{k}" for k in KEYS], moments.alias("_large"))
+    return out.join(large, keyed(out), "left").withColumn("_large", F.coalesce("_large", none)).drop(*[f"_{k}" for k in KEYS])
 
 
 def _bin(v: Column) -> Column:

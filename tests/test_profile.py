@@ -37,6 +37,19 @@ def test_described(spark):
     assert np.isclose(x1["std_diff"], (2 - -5) / np.sqrt((1 + 0) / 2))
 
 
+def test_large_values_count_in_means_and_shifts(spark):
+    loads = {1: [0.1, 0.2, 1e15, 0.4], 2: [0.3, -2e18, 0.1, 5.0], 3: [2.5e12] * 5, None: [0.2, 0.1, 0.4], 5: [3e13 + k for k in range(6)]}
+    rows = [("g", k, x, None) for k, own in loads.items() for x in own] + [("still", k, 7e14, None) for k in (1, 1, 2)]
+    specs = spark.createDataFrame([], "column_name string, low double, high double, pattern string")
+    got = {(r["group"], r["load"]): r for r in P.described(counts(spark, rows, texts=()), specs).collect()}
+    assert len(got) == 7
+    for k, own in loads.items():
+        r, rest = got["g", k], [x for j, xs in loads.items() if j != k for x in xs]
+        assert np.isclose(r["mean"], np.mean(own), rtol=1e-12) and np.isclose(r["deviation"], np.std(own), rtol=1e-9)
+        assert np.isclose(r["std_diff"], (np.mean(own) - np.mean(rest)) / np.sqrt((np.var(own) + np.var(rest)) / 2), rtol=1e-9)
+    assert got["still", 1]["deviation"] == 0 and got["still", 1]["std_diff"] is None and got["still", 2]["mean"] == 7e14
+
+
 def test_empty(spark):
     assert P.selected(counts(spark, [])).count() == 0
     assert P.described(counts(spark, []), spark.createDataFrame([], "column_name string, low double, high double, pattern string")).count() == 0
