@@ -27,12 +27,12 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], ag
     totals = df.groupBy(*named, col(bucket)).agg(*[f(v).alias(f"_t_{n}") for n, (f, v, _) in aggs.items()])
     totals = totals.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], col(bucket).alias("_b"), *[f(F.col(f"_t_{n}")).over(before).alias(f"_t_{n}") for n, (f, _, _) in aggs.items()])
     on = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [col(bucket).eqNullSafe(F.col("_b"))]
-    out = df.withColumns({f"_r_{n}": f(v).over(within) for n, (f, v, _) in aggs.items()}).join(totals, on, "left")
+    out = df.withColumns({f"_r_{n}": f(v).over(within) for n, (f, v, _) in aggs.items()}).join(totals.hint("merge"), on, "left")
     return out.select(*[col(c) for c in df.columns], *[both(F.col(f"_t_{n}"), F.col(f"_r_{n}")).alias(n) for n, (_, _, both) in aggs.items()])
 
 
-def hot(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """The values of ``key`` that hold at least ``share`` of the rows: at most 1/share of them, so they may be broadcast."""
-    counts = df.groupBy(col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+def hot(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
+    """_h0, _h1, ..., _n: the values of ``keys`` that hold at least ``share`` of the rows, and how many: at most 1/share of them, so they may be broadcast."""
+    counts = df.groupBy(*[col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n"))
     least = df.agg((F.count(F.lit(1)) * share).alias("_least"))
-    return counts.where((F.col("_n") >= least.scalar()) & F.col("_hot").isNotNull()).select("_hot")
+    return counts.where(F.col("_n") >= least.scalar()).dropna("any")

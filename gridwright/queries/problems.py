@@ -18,23 +18,22 @@ BARS = ["symbol", "exchange", "day"]
 # 1 ---------------------------------------------------------------------------------------------------------------
 
 
-def _picks_known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _picks_known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     picks = table(spark, d, "picks").select("pick_id", F.upper(F.trim("index_name")).alias("index_name"), tidy("symbol").alias("symbol"), "picked_at")
     snaps = table(spark, d, "symbol_snapshots").withColumn("symbol", tidy("symbol"))
-    values = ["snapshot_id", "report_asof", "pe", "industry"]
-    due = known_at.due_intervals(snaps.where(F.col("symbol").isNotNull()), ["symbol"], both_from(micros(unpacked("report_asof")), micros("loaded_at")), [F.col("report_asof"), F.col("loaded_at")], values)
-    snapshot = known_at.known_at(picks, "pick_id", micros("picked_at"), {"symbol": F.col("symbol")}, due, values)
+    due = known_at.due_intervals(snaps.where(F.col("symbol").isNotNull()), ["symbol"], both_from(micros(unpacked("report_asof")), micros("loaded_at")), [F.col("report_asof"), F.col("loaded_at")], ["snapshot_id"])
+    snapshot = known_at.known_at(picks, "pick_id", micros("picked_at"), {"symbol": F.col("symbol")}, staged(due, "due"), ["snapshot_id"])
     log = table(spark, d, "index_changes")
     change = lambda who, held: log.select("change_id", F.upper(F.trim("index_name")).alias("index_name"), tidy(who).alias("symbol"), "change_date", "recorded_at", F.lit(held).alias("is_member"))
     changes = change("removed", 0).unionByName(change("added", 1)).where(F.col("symbol").isNotNull() & F.col("index_name").isNotNull())
     held = known_at.due_intervals(changes, ["symbol", "index_name"], both_from(micros(unpacked("change_date")), micros("recorded_at")), [F.col("change_date"), F.col("recorded_at"), F.col("change_id")], ["is_member"])
-    member = known_at.known_at(picks, "pick_id", micros("picked_at"), {"symbol": F.col("symbol"), "index_name": F.col("index_name")}, held, ["is_member"])
-    return picks, snapshot, member
+    member = known_at.known_at(picks, "pick_id", micros("picked_at"), {"symbol": F.col("symbol"), "index_name": F.col("index_name")}, staged(held, "held"), ["is_member"])
+    return snapshot, member
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    _, snapshot, member = _picks_known(spark, d)
-    return snapshot.select("pick_id", "snapshot_id").join(member, "pick_id", "left").select("pick_id", "snapshot_id", F.coalesce("is_member", F.lit(0)).cast("int").alias("is_member"))
+    snapshot, member = _picks_known(spark, d)
+    return snapshot.join(member, "pick_id", "left").select("pick_id", "snapshot_id", F.coalesce("is_member", F.lit(0)).cast("int").alias("is_member"))
 
 
 P1_SQL = """

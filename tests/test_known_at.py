@@ -50,11 +50,23 @@ def test_empty(spark):
     assert run(spark, [("a", 1, T0, 1, "")], []) == {}
 
 
-def test_nodes_cover_exactly(spark):
+def test_nodes_cover(spark):
     rnd = random.Random(3)
-    spans = [(a := rnd.randrange(-(1 << 51), 1 << 51), a + rnd.randrange(1, 1 << rnd.randrange(1, 50))) for _ in range(60)] + [(0, K.ALWAYS), (-K.ALWAYS, K.ALWAYS), (5, 6)]
-    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", K.nodes(F.col("a"), F.col("b"), 40).alias("n"))
+    spans = [(a := rnd.randrange(-(1 << 57), 1 << 57), a + rnd.randrange(1, 1 << rnd.randrange(1, 58))) for _ in range(80)] + [(5, 6), (-8, 0), (-1, 1)]
+    df = spark.createDataFrame(spans, "a long, b long").withColumn("l", K.level_of(F.col("a"), F.col("b"))).select("a", "b", "l", K.nodes(F.col("a"), F.col("b"), F.col("l")).alias("n"))
     for r in df.collect():
-        units = sorted((x["node"] << x["level"], (x["node"] + 1) << x["level"]) for x in r["n"])
-        assert units[0][0] == r["a"] >> 40 and units[-1][1] == ((r["b"] - 1) >> 40) + 1
-        assert all(p[1] == q[0] for p, q in zip(units, units[1:], strict=False))
+        assert r["n"][0] << r["l"] <= r["a"] and r["b"] <= (r["n"][-1] + 1) << r["l"]
+        assert r["l"] % K.STRIDE == 0 and 1 << r["l"] <= r["b"] - r["a"] and len(r["n"]) <= 2**K.STRIDE + 1
+
+
+def test_any_time(spark):
+    old, late = dt.datetime(1700, 3, 1), dt.datetime(2900, 1, 1)
+    versions = [("a", 1, old, 1, ""), ("a", 2, late, 2, "")]
+    events = [(1, "a", old, ""), (2, "a", dt.datetime(1699, 1, 1), ""), (3, "a", dt.datetime(2500, 1, 1), ""), (4, "a", dt.datetime(9000, 1, 1), "")]
+    assert run(spark, versions, events) == {1: 1, 3: 1, 4: 2}
+
+
+def test_hot_in_versions_and_events(spark):
+    versions = [("a", k, T0 + dt.timedelta(minutes=k), k, "") for k in range(300)] + [("b", 1, T0, 7, "")]
+    events = [(k, "a" if k % 3 else "b", T0 + dt.timedelta(seconds=20 * k), "") for k in range(900)]
+    assert run(spark, versions, events, salts=4, hot_share=0.1) == brute(versions, events)
