@@ -1,12 +1,11 @@
 """Column-level data-quality profiles per group and load.
 
-Everything is derived from one table of value counts (group, load, column,
-value, n), which is aggregated before its shuffle, so repeated values and hot groups
-collapse early. Numeric shifts between loads are described by power sums
-kept as exact decimals: they merge by adding, and "all other loads" is the total less the own sums. Values too large for
-them are kept as count, mean and squared deviations, which merge without subtracting. Medians
-and quartiles are exact order statistics with interpolation, selected over value bins
-(``selected``), so no group is ever gathered in one task.
+Counts, ranges, violations and power sums are merged before the shuffle, one row per group, load, column and *limb*. A limb holds
+the values of eight neighbouring binary exponents as whole numbers of one unit, so the sums of values and of their
+squares are sums of whole numbers: exact for every finite double, merged by adding, and "all other loads" is the total less the own
+sums. They give means, deviations and the standardised differences between loads, which settle plain shifts. Where a median
+lies among the quartiles of other loads is told by histograms; only the few cells that these leave open are
+selected from the values themselves (``selected``), so no group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -17,111 +16,192 @@ from pyspark.sql import functions as F
 from gridwright.functions.columns import col, present
 
 KEYS = ["group", "load", "column_name"]
-LARGE, SQUARES = 1e12, 1e150  # beyond the first a value's square leaves the decimals, beyond the second sums of squares leave the doubles
+WHOLE = ["group", "column_name"]
+SALTS = 16
+_HALF = 30  # bits of the lower half of a whole number
+_SUMS = ["h", "l", "hh", "hl", "ll"]
 
 
-def value_counts(df: DataFrame, group: str, load: str, numbers: list[str], texts: list[str]) -> DataFrame:
-    """group, load, column_name, num, txt, n: how often each value occurs; missing (NULL, NaN) counts as a value with num and txt NULL."""
-    cells = [F.struct(F.lit(c).alias("column_name"), present(col(c).cast("double")).alias("num"), F.lit(None).cast("string").alias("txt")) for c in numbers]
-    cells += [F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("num"), col(c).cast("string").alias("txt")) for c in texts]
-    long = df.select(col(group).alias("group"), col(load).alias("load"), F.inline(F.array(*cells)))
-    return long.groupBy(*KEYS, "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+def cells(df: DataFrame, group: str, load: str, numbers: list[str | Column], texts: list[str]) -> DataFrame:
+    """group, load, column_name, num, txt: one row per row and column; missing (NULL, NaN) has num and txt NULL."""
+    made = [F.struct(F.lit(c).alias("column_name"), present(col(c).cast("double")).alias("num"), F.lit(None).cast("string").alias("txt")) for c in numbers]
+    made += [F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("num"), col(c).cast("string").alias("txt")) for c in texts]
+    return df.select(col(group).alias("group"), col(load).alias("load"), F.inline(F.array(*made)))
 
 
-def described(counts: DataFrame, specs: DataFrame) -> DataFrame:
-    """One row per group, load and column: rows, missing, distinct, least and greatest value, violations, power sums.
+def distincts(values: DataFrame) -> DataFrame:
+    """group, load, column_name, n_distinct: how many different values there are, missing ones left out."""
+    there = F.col("num").isNotNull() | F.col("txt").isNotNull()
+    return values.groupBy(*KEYS, "num", "txt").agg(F.lit(1).alias("_one")).groupBy(*KEYS).agg(F.count(F.when(there, 1)).alias("n_distinct"))
+
+
+def _scaled(x: Column, bits: Column) -> Column:
+    """x * 2**bits, exactly, in two steps as one may leave the doubles."""
+    half = F.floor(bits / 2)
+    return x * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (bits - half).cast("double"))
+
+
+def described(values: DataFrame, specs: DataFrame) -> DataFrame:
+    """One row per group, load and column: rows, missing, least and greatest value, violations, moments.
 
     ``specs`` (column_name, low, high, pattern; NULL bounds and patterns forbid nothing)
-    has a row per column and is joined as a dimension. Power sums p0, p1, p2 are exact over values below 1e12 in
-    magnitude, rounded to 6 decimals (n_large counts the rest); a sum beyond 38 digits is NULL. ``mean``, ``deviation`` and
-    ``std_diff`` are of all values, the large ones included; only values from 1e150 on, whose squares have no sum in doubles,
-    count in n_large alone. Standardised difference ``std_diff`` is the mean's distance from that of the group's other loads in pooled deviations; NULL where undefined.
+    has a row per column and is joined as a dimension. Values of any finite size, however large or small, count in
+    ``mean``, ``deviation``, ``std_diff``, and in the exact power sums behind them (p0, p1, p2 are those as doubles); infinities count in n_infinite alone.
+    Standardised difference ``std_diff`` is the mean's distance from that of the group's other loads in pooled deviations; NULL where undefined.
+    other_n, other_mean, other_deviation are of all other loads. NULL groups and loads are groups and loads of their own.
     """
-    s = specs.select("column_name", "low", "high", "pattern").dropDuplicates(["column_name"])
-    c = counts.join(s, "column_name", "left")
+    s = specs.groupBy("column_name").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("pattern").alias("pattern"))
+    finite = F.abs("num") < float("inf")
+    size = F.when(finite & (F.col("num") != 0), F.abs("num"))
+    # one bit to spare: a logarithm may round up
+    unit = F.coalesce((F.floor((F.floor(F.log2(size)) - 1) / 8) * 8 - 52).cast("int"), F.when(finite, -1140), F.lit(9999))
+    c = values.withColumn("_unit", unit).withColumn("_m", F.when(size.isNotNull(), _scaled(F.col("num"), -F.col("_unit")).cast("long")).when(finite, F.lit(0).cast("long")))
+    c = c.withColumns({"_h": F.shiftright("_m", _HALF), "_l": F.col("_m").bitwiseAND(F.lit((1 << _HALF) - 1))})
+    whole = lambda x: x.cast("decimal(20,0)")
     there = F.col("num").isNotNull() | F.col("txt").isNotNull()
-    sized = F.when(F.abs("num") < LARGE, F.col("num").cast("decimal(19,6)"))
-    square = (sized * sized).cast("decimal(38,6)")  # what this rounds off is summed apart
-    n = F.col("n").cast("decimal(19,0)")
-    out = c.groupBy(*KEYS).agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(there, F.lit(0)).otherwise(F.col("n"))).alias("n_missing"),
-        F.count(F.when(there, 1)).alias("n_distinct"),
+    c = c.join(s, "column_name", "left")
+    limbs = c.groupBy(*KEYS, "_unit").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(~there, 1)).alias("n_missing"),
         F.min("num").alias("least"),
         F.max("num").alias("greatest"),
-        F.sum(F.when((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")), F.col("n")).otherwise(0)).alias("n_out_of_range"),
-        F.sum(F.when(~F.regexp("txt", F.concat(F.lit("^(?:"), F.regexp_replace("pattern", r"^\^|\$$", ""), F.lit(r")\z"))), F.col("n")).otherwise(0)).alias("n_off_pattern"),
-        F.sum(F.when(F.abs("num") >= LARGE, F.col("n")).otherwise(0)).alias("n_large"),
-        F.sum(F.when(sized.isNotNull(), F.col("n")).otherwise(0)).alias("p0"),
-        F.try_sum((sized * n).cast("decimal(38,6)")).alias("p1"),
-        F.try_sum((square * n).cast("decimal(38,6)")).alias("p2"),
-        F.try_sum((((sized * sized).cast("decimal(35,11)") - square.cast("decimal(30,6)")).cast("decimal(12,11)") * n).cast("decimal(38,11)")).alias("_p2_rest"),
+        F.count(F.when((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")), 1)).alias("n_out_of_range"),
+        F.count(F.when(~F.regexp("txt", F.concat(F.lit("^(?:"), F.regexp_replace("pattern", r"^\^|\$$", ""), F.lit(r")\z"))), 1)).alias("n_off_pattern"),
+        F.count("_m").alias("n"),
+        F.sum(whole(F.col("_h"))).alias("h"),
+        F.sum(whole(F.col("_l"))).alias("l"),
+        F.sum(whole(F.col("_h") * F.col("_h"))).alias("hh"),
+        F.sum(whole(F.col("_h") * F.col("_l"))).alias("hl"),
+        F.sum(whole(F.col("_l") * F.col("_l"))).alias("ll"),
     )
-    out = _with_large(out, counts)
-    whole = Window.partitionBy("group", "column_name")  # one row per load
-    out = out.withColumns({f"_o{k}": F.sum(f"p{k}").over(whole) - F.when(F.col("p0") > 0, F.col(f"p{k}")).otherwise(0) for k in ("0", "1", "2")} | {"_o2_rest": F.sum("_p2_rest").over(whole) - F.when(F.col("p0") > 0, F.col("_p2_rest")).otherwise(0)})
-    # what loads hold of large values, beside each load: nothing where none does
-    out = out.withColumn("_all", F.collect_list(F.when(F.col("_large.n") > 0, F.struct("load", F.col("_large").alias("m")))).over(whole))
-    others = F.filter("_all", lambda x: ~x["load"].eqNullSafe(F.col("load")))
-    out = out.withColumns({"_own": _merged(_moments("p", "_p2_rest"), F.col("_large")), "_rest": F.aggregate(others, _moments("_o", "_o2_rest"), lambda acc, x: _merged(acc, x["m"]))})
-    mean = lambda m: F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.mean"))
-    var = lambda m: F.greatest(F.col(f"{m}.m2") / F.nullif(F.col(f"{m}.n"), F.lit(0.0)), F.lit(0.0))
-    pooled = F.sqrt((var("_own") + var("_rest")) / 2)
-    out = out.withColumns({"mean": mean("_own"), "deviation": F.sqrt(F.when(F.col("_own.n") > 0, var("_own"))), "std_diff": (mean("_own") - mean("_rest")) / F.nullif(pooled, F.lit(0.0))})
-    return out.drop("_o0", "_o1", "_o2", "_o2_rest", "_p2_rest", "_large", "_all", "_own", "_rest")
-
-
-def _moments(p: str, rest: str) -> Column:
-    """Count, mean and sum of squared deviations (n, mean, m2) from the power sums of prefix ``p`` and the squares' ``rest``; a sum that is NULL stays NULL."""
-    n = F.coalesce(F.col(f"{p}0"), F.lit(0)).cast("double")
-    total = lambda k: F.col(f"{p}{k}").cast("double") + (F.col(rest).cast("double") if k == 2 else F.lit(0.0))
-    part = lambda k: F.when(n > 0, total(k) / F.nullif(n, F.lit(0.0))).otherwise(0.0)
-    return F.struct(n.alias("n"), part(1).alias("mean"), (F.greatest(part(2) - part(1) * part(1), F.when(part(2).isNotNull(), 0.0)) * n).alias("m2"))
-
-
-def _merged(a: Column, b: Column) -> Column:
-    """The moments of two sets together, by adding alone; an empty set changes nothing."""
-    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
-    both = F.struct(n.alias("n"), (a["mean"] + apart * (b["n"] / n)).alias("mean"), (a["m2"] + b["m2"] + apart * apart * (a["n"] * (b["n"] / n))).alias("m2"))
-    return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
-
-
-def _with_large(out: DataFrame, counts: DataFrame) -> DataFrame:
-    """``out`` with ``_large``: the moments of each load's values from LARGE up to SQUARES.
-
-    Deviations are taken from one of the load's own values, so equal and close values don't cancel.
+    sums = F.struct(F.col("_unit").alias("unit"), "n", *[F.col(x).cast("decimal(38,0)").alias(x) for x in _SUMS])
+    held = F.collect_list(F.when(F.col("n") > 0, sums))
+    own = limbs.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in ("n_rows", "n_missing", "n_out_of_range", "n_off_pattern")], F.min("least").alias("least"), F.max("greatest").alias("greatest"), held.alias("_limbs"))
+    # the limbs of all loads together: at most 260 a group and column
+    total = limbs.groupBy(*WHOLE, "_unit").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in _SUMS]).groupBy(*WHOLE).agg(held.alias("_all"))
+    total = total.select(F.col("group").alias("_g"), F.col("column_name").alias("_c"), "_all")
+    out = own.join(total, F.col("group").eqNullSafe(F.col("_g")) & (F.col("column_name") == F.col("_c")))
+    mine = F.map_from_entries(F.transform("_limbs", lambda x: F.struct(x["unit"], x)))
+    zero = F.lit(0).cast("decimal(38,0)")
+
+    def less(t: Column) -> Column:
+        m = F.try_element_at(mine, t["unit"])
+        return F.struct(t["unit"].alias("unit"), (t["n"] - F.coalesce(m["n"], F.lit(0))).alias("n"), *[(t[x] - F.coalesce(m[x], zero)).cast("decimal(38,0)").alias(x) for x in _SUMS])
+
+    out = out.withColumn("_rest", F.filter(F.transform("_all", less), lambda x: x["n"] > 0))
+    out = out.withColumns({"_a": _merged("_limbs"), "_b": _merged("_rest")})
+    power = lambda k: F.aggregate("_limbs", F.lit(0.0), lambda acc, x: acc + _power(x, k))
+    pooled = F.hypot("_a.dev", "_b.dev") / F.sqrt(F.lit(2.0))
+    mean, dev = (lambda m: F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.mean"))), (lambda m: F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.dev")))
+    return out.select(
+        *KEYS, "n_rows", "n_missing", "n_out_of_range", "n_off_pattern", "least", "greatest",
+        (F.col("n_rows") - F.col("n_missing") - F.aggregate("_limbs", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])).alias("n_infinite"),
+        F.col("_a.n").cast("long").alias("p0"), power(1).alias("p1"), power(2).alias("p2"), mean("_a").alias("mean"), dev("_a").alias("deviation"),
+        F.col("_b.n").cast("long").alias("other_n"), mean("_b").alias("other_mean"), dev("_b").alias("other_deviation"),
+        ((mean("_a") - mean("_b")) / F.nullif(pooled, F.lit(0.0))).alias("std_diff"),
+    )
+
+
+def _power(x: Column, k: int) -> Column:
+    """A limb's sum of values (k 1) or of squares (k 2) as a double."""
+    d = lambda name: x[name].cast("double")
+    if k == 1:
+        return _scaled(d("h") * float(1 << _HALF) + d("l"), x["unit"])
+    return _scaled(_scaled(d("hh") * float(1 << 2 * _HALF) + d("hl") * float(1 << _HALF + 1) + d("ll"), x["unit"]), x["unit"])
+
+
+def _limb(x: Column) -> Column:
+    """Count, mean and deviation of a limb's values from its exact sums, taken around a whole number near the mean, so close values don't cancel."""
+    n = x["n"].cast("decimal(20,0)")
+    first = (x["h"] * F.lit(1 << _HALF).cast("decimal(11,0)") + x["l"]).cast("decimal(38,0)")
+    c = (first.cast("double") / x["n"]).cast("long")
+    ch, cl = F.shiftright(c, _HALF).cast("decimal(20,0)"), c.bitwiseAND(F.lit((1 << _HALF) - 1)).cast("decimal(20,0)")
+    d38 = lambda v: v.cast("decimal(38,0)")
+    off = (first - d38(n * c.cast("decimal(20,0)"))).cast("double") / x["n"]
+    a = d38(x["hh"] - d38(ch * x["h"]) * 2 + d38(d38(ch * ch) * n))
+    b = d38(x["hl"] - d38(ch * x["l"]) - d38(cl * x["h"]) + d38(d38(ch * cl) * n))
+    e = d38(x["ll"] - d38(cl * x["l"]) * 2 + d38(d38(cl * cl) * n))
+    exact = d38(d38(F.when(F.abs(a) < 1e15, a) * F.lit(1 << 2 * _HALF).cast("decimal(20,0)")) + d38(F.when(F.abs(b) < 1e27, b) * F.lit(1 << _HALF + 1).cast("decimal(11,0)")) + e)
+    around = F.coalesce(exact.cast("double"), a.cast("double") * float(1 << 2 * _HALF) + b.cast("double") * float(1 << _HALF + 1) + e.cast("double")) / x["n"]
+    return F.struct(x["n"].cast("double").alias("n"), _scaled(c.cast("double") + off, x["unit"]).alias("mean"), _scaled(F.sqrt(F.greatest(around - off * off, F.lit(0.0))), x["unit"]).alias("dev"))
+
+
+def _merged(limbs: str) -> Column:
+    """Count, mean and deviation of all limbs together."""
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("dev"))
+
+    def both(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        dev = F.hypot(F.hypot(a["dev"] * F.sqrt(a["n"] / n), b["dev"] * F.sqrt(b["n"] / n)), apart * (F.sqrt(a["n"] * b["n"]) / n))
+        return F.struct(n.alias("n"), (a["mean"] + apart * (b["n"] / n)).alias("mean"), dev.alias("dev"))
+
+    return F.aggregate(F.transform(limbs, _limb), none, lambda acc, x: F.when(acc["n"] == 0, x).otherwise(both(acc, x)))
+
+
+def surely_shifted() -> Column:
+    """Over the columns of ``described``: whether mean and deviation alone put the median outside the quartiles of the other loads.
+
+    A median lies within one deviation of its mean; a value that at least a share p of the values reach or pass lies no farther
+    than sqrt((1 - p) / p) deviations beyond the mean (Cantelli).
     """
-    big = counts.where((F.abs("num") >= LARGE) & (F.abs("num") < SQUARES))
-    keyed = lambda df: [df[k].eqNullSafe(F.col(f"_{k}")) for k in KEYS]
-    renamed = [F.col(k).alias(f"_{k}") for k in KEYS]
-    at = big.groupBy(*renamed).agg(F.min("num").alias("_at"))
-    n, off = F.col("n").cast("double"), F.col("num") - F.col("_at")
-    sums = big.join(at, keyed(big)).groupBy(*[f"_{k}" for k in KEYS]).agg(F.sum(n).alias("_n"), F.first("_at").alias("_at"), F.sum(n * off).alias("_d1"), F.sum(n * off * off).alias("_d2"))
-    shift = F.col("_d1") / F.col("_n")
-    moments = F.struct(F.col("_n").alias("n"), (F.col("_at") + shift).alias("mean"), F.greatest(F.col("_d2") - F.col("_d1") * shift, F.lit(0.0)).alias("m2"))
-    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-    large = sums.select(*[f"_{k}" for k in KEYS], moments.alias("_large"))
-    return out.join(large, keyed(out), "left").withColumn("_large", F.coalesce("_large", none)).drop(*[f"_{k}" for k in KEYS])
+    n = F.nullif("other_n", F.lit(0))
+    share = F.lit(0.25) * (n - 1) / n
+    reach = F.sqrt((1 - share) / F.nullif(share, F.lit(0.0))) * F.col("other_deviation") + F.col("deviation")
+    slack = 1e-9 * (F.abs("mean") + F.abs("other_mean") + F.col("deviation") + F.col("other_deviation"))
+    return F.coalesce((n > 1) & (F.abs(F.col("mean") - F.col("other_mean")) > reach + slack) & (F.col("n_infinite") == 0), F.lit(False))
 
 
 def _bin(v: Column) -> Column:
-    """A whole number that doesn't fall as v rises: 64 bins an octave on either side of 0."""
-    return (F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.least(F.abs(v), F.lit(1e300)) * 1048576.0) * 64)).cast("long")
+    """A whole number that doesn't fall as v rises: 16 bins an octave on either side of 0."""
+    return (F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.least(F.abs(v), F.lit(1e300)) * 1048576.0) * 16)).cast("long")
 
 
-def selected(counts: DataFrame) -> DataFrame:
+def histogram(values: DataFrame) -> DataFrame:
+    """group, load, column_name, _bin, _own: how many values lie in each bin."""
+    return values.where(F.col("num").isNotNull()).groupBy(*KEYS, _bin(F.col("num")).alias("_bin")).agg(F.count(F.lit(1)).alias("_own"))
+
+
+def placed(bins: DataFrame) -> DataFrame:
+    """group, load, column_name, n, shift: whether a load's median lies outside the quartiles of the group's other loads; NULL where bins leave it open.
+
+    The bins of the two middle values and the numbers of other loads' values below and up to them decide it where
+    no quartile lies in those bins. A cell without other values has no shift.
+    """
+    own = Window.partitionBy(*KEYS).orderBy("_bin")
+    whole = Window.partitionBy(*WHOLE)  # a group's bins, whose number the rows don't change
+    rising = whole.orderBy("_bin")
+    t = bins.withColumns({"_upto": F.sum("_own").over(rising.rangeBetween(Window.unboundedPreceding, 0)), "_under": F.coalesce(F.sum("_own").over(rising.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_own").over(whole)})
+    t = t.withColumns({"_cum": F.sum("_own").over(own), "n": F.sum("_own").over(Window.partitionBy(*KEYS))})
+    holds = lambda r: (F.col("_cum") - F.col("_own") <= r) & (r < F.col("_cum"))
+    low, high = holds(F.floor((F.col("n") - 1) / 2)), holds(F.ceil((F.col("n") - 1) / 2))
+    t = t.groupBy(*KEYS).agg(
+        F.max("n").alias("n"), F.max("_total").alias("_total"),
+        F.max(F.when(low, F.col("_under") - (F.col("_cum") - F.col("_own")))).alias("_less"),
+        F.max(F.when(high, F.col("_upto") - F.col("_cum"))).alias("_most"),
+    )
+    last = F.col("_total") - F.col("n") - 1
+    q1, q3 = last * 0.25, last * 0.75
+    below, above = F.col("_most") <= F.floor(q1), F.col("_less") > F.ceil(q3)
+    inside = (F.col("_less") > F.ceil(q1)) & (F.col("_most") <= F.floor(q3))
+    return t.select(*KEYS, "n", F.when(last < 0, False).when(below | above, True).when(inside, False).alias("shift"))
+
+
+def selected(df: DataFrame, group: str, load: str, numbers: list[str], bins: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """group, load, column_name, n, median, q25, q75: the load's own median, and the quartiles of all other loads of its group.
 
-    Exact, with linear interpolation; NULL where a set is empty. A histogram
-    per load tells in which bin each wanted order statistic lies; only that bin's values are ordered.
+    Exact, with linear interpolation; NULL where a set is empty. ``bins`` (``histogram``) tells in which bin each wanted order statistic
+    lies; only those bins' values are taken from the rows and ordered. ``only`` (KEYS) restricts the cells for which they are wanted.
     """
-    v = counts.where(F.col("num").isNotNull()).withColumn("_bin", _bin(F.col("num")))
-    own = v.groupBy(*KEYS, "_bin").agg(F.sum("n").alias("_own"))
-    total = own.groupBy("group", "column_name", "_bin").agg(F.sum("_own").alias("_all"))
+    same = lambda a, b, keys: [F.col(a + k).eqNullSafe(F.col(b + k)) for k in keys]
+    renamed = lambda t, keys: t.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in t.columns if c not in keys])
+    own, total = bins, bins.groupBy(*WHOLE, "_bin").agg(F.sum("_own").alias("_all"))
     loads = own.groupBy(*KEYS).agg(F.sum("_own").alias("n"))
-    sizes = loads.withColumn("_others", F.sum("n").over(Window.partitionBy("group", "column_name")) - F.col("n"))
+    sizes = loads.withColumn("_others", F.sum("n").over(Window.partitionBy(*WHOLE)) - F.col("n"))
+    if only is not None:
+        sizes = sizes.join(renamed(only.select(*KEYS), KEYS), same("", "_r_", KEYS), "left_semi")
     # the bins of a group and column, beside each of its loads: summaries, whose number the rows don't change
-    table = sizes.join(total, ["group", "column_name"]).join(own, [*KEYS, "_bin"], "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
+    table = sizes.join(renamed(total, WHOLE), same("", "_r_", WHOLE)).drop(*["_r_" + k for k in WHOLE])
+    table = table.join(renamed(own, [*KEYS, "_bin"]), same("", "_r_", [*KEYS, "_bin"]), "left").drop(*["_r_" + k for k in [*KEYS, "_bin"]]).withColumn("_own", F.coalesce("_own", F.lit(0)))
     upto = Window.partitionBy(*KEYS).orderBy("_bin")
     table = table.withColumns({"_c_own": F.sum("_own").over(upto), "_c_oth": F.sum(F.col("_all") - F.col("_own")).over(upto)})
 
@@ -133,13 +213,22 @@ def selected(counts: DataFrame) -> DataFrame:
     other_here = F.col("_all") - F.col("_own")
     want = [*wanted("median", 0.5, "n", "_c_own", F.col("_own"), False), *wanted("q25", 0.25, "_others", "_c_oth", other_here, True), *wanted("q75", 0.75, "_others", "_c_oth", other_here, True)]
     targets = table.select(*KEYS, "_bin", F.inline(F.array(*want))).where("hit")
-    cand = v.select("group", "column_name", "_bin", F.col("load").alias("_load"), "num", "n")
-    met = targets.join(cand, ["group", "column_name", "_bin"]).where(F.col("others") == (F.col("load") != F.col("_load")))
+    # the bins wanted of each column, one row a group, copied to the salts over which its rows are spread
+    sought = targets.groupBy("group").agg(*[F.collect_set(F.when(F.col("column_name") == c, F.col("_bin"))).alias(f"_w{i}") for i, c in enumerate(numbers)])
+    sought = sought.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("group", "_g")
+    rows = df.select(col(group).alias("group"), col(load).alias("load"), *[present(col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(numbers)])
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[f"_v{i}" for i in range(len(numbers))]), F.lit(SALTS)).cast("int"))
+    rows = rows.join(sought, F.col("group").eqNullSafe(F.col("_g")) & (F.col("_salt") == F.col("_s")))
+    found = [F.when(F.array_contains(f"_w{i}", _bin(F.col(f"_v{i}"))), F.struct(F.lit(c).alias("column_name"), _bin(F.col(f"_v{i}")).alias("_bin"), F.col(f"_v{i}").alias("num"))) for i, c in enumerate(numbers)]
+    v = rows.select("group", "load", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull()))).groupBy(*KEYS, "_bin", "num").agg(F.count(F.lit(1)).alias("n"))
+    cand = v.select(F.col("group").alias("_r_group"), F.col("column_name").alias("_r_column_name"), F.col("_bin").alias("_r__bin"), F.col("load").alias("_load"), "num", "n")
+    met = targets.join(cand, same("", "_r_", [*WHOLE, "_bin"])).where(F.col("others") == ~F.col("load").eqNullSafe(F.col("_load")))
     met = met.groupBy(*KEYS, "what", "rank", "part", "num").agg(F.sum("n").alias("n"))
     met = met.withColumn("_c", F.sum("n").over(Window.partitionBy(*KEYS, "what").orderBy("num")))
-    found = met.where((F.col("_c") > F.col("rank")) & (F.col("_c") - F.col("n") <= F.col("rank")))
+    hit = met.where((F.col("_c") > F.col("rank")) & (F.col("_c") - F.col("n") <= F.col("rank")))
     pick = lambda w: F.max(F.when(F.col("what") == w, F.col("num")))
     part = lambda w: F.max(F.when(F.col("what") == w, F.col("part")))
-    value = lambda w: (pick(f"{w}0") + (pick(f"{w}1") - pick(f"{w}0")) * part(f"{w}0")).alias(w)
-    out = found.groupBy(*KEYS).agg(value("median"), value("q25"), value("q75"))
-    return loads.join(out, KEYS, "left")
+    between = lambda a, b, p: F.when(a == b, a).otherwise(a + (b - a) * p)  # noqa: E731 - infinities have no difference
+    value = lambda w: between(pick(f"{w}0"), pick(f"{w}1"), part(f"{w}0")).alias(w)
+    out = renamed(hit.groupBy(*KEYS).agg(value("median"), value("q25"), value("q75")), KEYS)
+    return sizes.drop("_others").join(out, same("", "_r_", KEYS), "left").drop(*["_r_" + k for k in KEYS])

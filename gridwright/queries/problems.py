@@ -165,29 +165,41 @@ SELECT run_id, symbol, exchange, cast(strftime(day, '%Y%m%d') AS int) AS day, n_
 FACTORS = ["pe", "ps", "pb", "roe", "net_margin", "debt_to_equity", "market_cap", "gross_margin", "receivables_turnover", "debt_to_assets", "revenue", "revenue_growth", "eps_growth", "operating_income_growth", "net_income_growth", "gross_profit_growth"]
 
 
-def _fundamentals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = table(spark, d, "fundamentals")
-    counts = staged(profile.value_counts(f, "feed", "load_no", [*FACTORS, "report_event"], ["fiscal_period", "symbol"]), "counts")
-    return f, counts, profile.described(counts, table(spark, d, "field_specs"))
+DATED = [*FACTORS, "report_event", "day"]
+
+
+def _fundamentals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fundamentals").withColumn("day", packed("day"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    f, counts, described = _fundamentals(spark, d)
-    quartiles = profile.selected(counts.where(F.col("column_name").isin(FACTORS))).select(*profile.KEYS, "median", "q25", "q75")
-    filing = f.where(F.col("report_event") == 1.0).groupBy(F.col("feed").alias("group"), F.col("load_no").alias("load")).agg(F.count(F.lit(1)).alias("_filings"), F.count(F.when(F.col("day") == F.last_day("day"), 1)).alias("_at_end")).withColumn("column_name", F.lit("report_event"))
+    f = _fundamentals(spark, d)
+    described = profile.described(profile.cells(f, "feed", "load_no", [*FACTORS, "report_event"], ["fiscal_period", "symbol"]), table(spark, d, "field_specs"))
+    described = staged(described.withColumn("_sure", profile.surely_shifted()), "described")
+    bins = staged(profile.histogram(profile.cells(f, "feed", "load_no", FACTORS, [])), "bins")
+    place = staged(profile.placed(bins), "places")
+    # open: neither the moments nor the bins tell
+    sure = described.where("_sure").select(*profile.KEYS)
+    left = place.where("shift IS NULL").join(sure, profile.KEYS, "left_anti")
+    exact = profile.selected(f, "feed", "load_no", FACTORS, bins, left).select(*profile.KEYS, ((F.col("median") < F.col("q25")) | (F.col("median") > F.col("q75"))).alias("_exact"))
+    symbols = profile.distincts(profile.cells(f, "feed", "load_no", [], ["symbol"]))
+    day = unpacked("day")
+    filing = f.where(F.col("report_event") == 1.0).groupBy(F.col("feed").alias("group"), F.col("load_no").alias("load")).agg(F.count(F.lit(1)).alias("_filings"), F.count(F.when(day == F.last_day(day), 1)).alias("_at_end")).withColumn("column_name", F.lit("report_event"))
+    p = described
+    for t in (place.select(*profile.KEYS, "shift"), exact, symbols, filing):
+        p = p.join(t, profile.KEYS, "left")
     loads = Window.partitionBy("group", "column_name")
     c, factor = F.col("column_name"), F.col("column_name").isin(FACTORS)
     valued = F.col("n_rows") - F.col("n_missing")
     share = F.col("n_missing") / F.col("n_rows")
-    p = described.withColumns({"_share": F.percentile(share, 0.5).over(loads), "_distinct": F.percentile("n_distinct", 0.5).over(loads)})
-    p = p.join(quartiles, profile.KEYS, "left").join(filing, profile.KEYS, "left")
+    p = p.withColumns({"_share": F.percentile(share, 0.5).over(loads), "_distinct": F.percentile("n_distinct", 0.5).over(loads)})
     rules = {
         "empty": (c != "symbol") & (valued == 0),
         "null_rate": (c != "symbol") & (share > F.col("_share") + 0.25),
         "range": (factor | (c == "report_event")) & (F.col("n_out_of_range") > 0),
         "pattern": (c == "fiscal_period") & (F.col("n_off_pattern") > 0),
-        "constant": factor & (valued >= 10) & (F.col("n_distinct") == 1),
-        "shift": factor & (valued >= 10) & ((F.col("median") < F.col("q25")) | (F.col("median") > F.col("q75"))),
+        "constant": factor & (valued >= 10) & (F.col("least") == F.col("greatest")),
+        "shift": factor & (valued >= 10) & (F.col("_sure") | F.coalesce("shift", "_exact", F.lit(False))),
         "month_end": (F.col("_filings") >= 4) & (F.col("_at_end") * 2 > F.col("_filings")),
         "file_count": (c == "symbol") & (F.col("n_distinct") < F.col("_distinct") / 2),
     }
@@ -196,11 +208,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    _, _, described = _fundamentals(spark, d)
-    return described.select(F.col("group").alias("feed"), F.col("load").alias("load_no"), "column_name", "n_rows", "n_missing", "n_distinct", "least", "greatest", "n_out_of_range", "n_off_pattern", F.round("std_diff", 4).alias("std_diff"))
+    values = profile.cells(_fundamentals(spark, d), "feed", "load_no", DATED, ["fiscal_period", "symbol"])
+    p = profile.described(values, table(spark, d, "field_specs")).join(profile.distincts(values), profile.KEYS)
+    return p.select(F.col("group").alias("feed"), F.col("load").alias("load_no"), "column_name", "n_rows", "n_missing", "n_distinct", "least", "greatest", "n_out_of_range", "n_off_pattern", F.round("std_diff", 4).alias("std_diff"))
 
 
-_LONG = " UNION ALL ".join(f"SELECT feed, load_no, '{c}' AS column_name, CASE WHEN NOT isnan({c}) THEN {c} END AS v, NULL AS t FROM fundamentals" for c in [*FACTORS, "report_event"])
+_LONG = " UNION ALL ".join(f"SELECT feed, load_no, '{c}' AS column_name, CASE WHEN NOT isnan({c}) THEN {c} END AS v, NULL AS t FROM fundamentals" for c in [*FACTORS, "report_event"]) + " UNION ALL SELECT feed, load_no, 'day', cast(strftime(cast(day AS date), '%Y%m%d') AS double), NULL FROM fundamentals"
 P3_LONG_SQL = f"""
 WITH l AS ({_LONG} UNION ALL SELECT feed, load_no, 'fiscal_period', NULL, fiscal_period FROM fundamentals UNION ALL SELECT feed, load_no, 'symbol', NULL, symbol FROM fundamentals),
 p AS (SELECT l.feed, l.load_no, l.column_name, count(*) AS n_rows, count(*) - count(v) - count(t) AS n_missing, count(DISTINCT v) + count(DISTINCT t) AS n_distinct, min(v) AS least, max(v) AS greatest,
@@ -212,8 +225,8 @@ P3_SQL = P3_LONG_SQL + f""",
 o AS (SELECT p.feed, p.load_no, p.column_name, quantile_cont(l.v, 0.25) AS q25, quantile_cont(l.v, 0.75) AS q75 FROM p JOIN l ON l.feed = p.feed AND l.column_name = p.column_name AND l.load_no <> p.load_no WHERE p.column_name IN {tuple(FACTORS)} GROUP BY ALL),
 m AS (SELECT feed, load_no, count(*) AS n, count(CASE WHEN cast(day AS date) = last_day(cast(day AS date)) THEN 1 END) AS e FROM fundamentals WHERE report_event = 1.0 GROUP BY ALL),
 w AS (SELECT *, n_missing::double / n_rows AS share, quantile_cont(n_missing::double / n_rows, 0.5) OVER (PARTITION BY feed, column_name) AS med_share, quantile_cont(n_distinct::double, 0.5) OVER (PARTITION BY feed, column_name) AS med_distinct, n_rows - n_missing AS valued, column_name IN {tuple(FACTORS)} AS factor FROM p)
-SELECT feed, load_no, column_name, 'empty' AS check_name FROM w WHERE column_name <> 'symbol' AND valued = 0
-UNION ALL SELECT feed, load_no, column_name, 'null_rate' FROM w WHERE column_name <> 'symbol' AND share > med_share + 0.25
+SELECT feed, load_no, column_name, 'empty' AS check_name FROM w WHERE column_name NOT IN ('symbol', 'day') AND valued = 0
+UNION ALL SELECT feed, load_no, column_name, 'null_rate' FROM w WHERE column_name NOT IN ('symbol', 'day') AND share > med_share + 0.25
 UNION ALL SELECT feed, load_no, column_name, 'range' FROM w WHERE (factor OR column_name = 'report_event') AND n_out_of_range > 0
 UNION ALL SELECT feed, load_no, column_name, 'pattern' FROM w WHERE column_name = 'fiscal_period' AND n_off_pattern > 0
 UNION ALL SELECT feed, load_no, column_name, 'constant' FROM w WHERE factor AND valued >= 10 AND n_distinct = 1
