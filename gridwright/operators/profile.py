@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.columns import col, present
+from gridwright.functions.columns import col
 
 KEYS = ["group", "load", "column_name"]
 WHOLE = ["group", "column_name"]
@@ -22,11 +22,21 @@ _HALF = 30  # bits of the lower half of a whole number
 _SUMS = ["h", "l", "hh", "hl", "ll"]
 
 
-def cells(df: DataFrame, group: str, load: str, numbers: list[str | Column], texts: list[str]) -> DataFrame:
+def _number(c: str) -> str:
+    """SQL for a column as a double, NaN as NULL."""
+    c = "`" + c.replace("`", "``") + "`"
+    return f"CASE WHEN NOT isnan(CAST({c} AS double)) THEN CAST({c} AS double) END"
+
+
+def _text(c: str) -> str:
+    return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def cells(df: DataFrame, group: str, load: str, numbers: list[str], texts: list[str]) -> DataFrame:
     """group, load, column_name, num, txt: one row per row and column; missing (NULL, NaN) has num and txt NULL."""
-    made = [F.struct(F.lit(c).alias("column_name"), present(col(c).cast("double")).alias("num"), F.lit(None).cast("string").alias("txt")) for c in numbers]
-    made += [F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("num"), col(c).cast("string").alias("txt")) for c in texts]
-    return df.select(col(group).alias("group"), col(load).alias("load"), F.inline(F.array(*made)))
+    made = [f"named_struct('column_name', {_text(c)}, 'num', {_number(c)}, 'txt', CAST(NULL AS string))" for c in numbers]
+    made += ["named_struct('column_name', {}, 'num', CAST(NULL AS double), 'txt', CAST(`{}` AS string))".format(_text(c), c.replace("`", "``")) for c in texts]
+    return df.select(col(group).alias("group"), col(load).alias("load"), F.expr(f"inline(array({', '.join(made)}))"))
 
 
 def distincts(values: DataFrame) -> DataFrame:
@@ -74,59 +84,73 @@ def described(values: DataFrame, specs: DataFrame) -> DataFrame:
         F.sum(whole(F.col("_h") * F.col("_l"))).alias("hl"),
         F.sum(whole(F.col("_l") * F.col("_l"))).alias("ll"),
     )
-    sums = F.struct(F.col("_unit").alias("unit"), "n", *[F.col(x).cast("decimal(38,0)").alias(x) for x in _SUMS])
-    held = F.collect_list(F.when(F.col("n") > 0, sums))
-    own = limbs.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in ("n_rows", "n_missing", "n_out_of_range", "n_off_pattern")], F.min("least").alias("least"), F.max("greatest").alias("greatest"), held.alias("_limbs"))
-    # the limbs of all loads together: at most 260 a group and column
-    total = limbs.groupBy(*WHOLE, "_unit").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in _SUMS]).groupBy(*WHOLE).agg(held.alias("_all"))
-    total = total.select(F.col("group").alias("_g"), F.col("column_name").alias("_c"), "_all")
-    out = own.join(total, F.col("group").eqNullSafe(F.col("_g")) & (F.col("column_name") == F.col("_c")))
-    mine = F.map_from_entries(F.transform("_limbs", lambda x: F.struct(x["unit"], x)))
+    own = limbs.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in ("n_rows", "n_missing", "n_out_of_range", "n_off_pattern")], F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    # each load beside the limbs of all loads of its group and column, at most 260
+    total = limbs.where(F.col("n") > 0).groupBy(*WHOLE, "_unit").agg(*[F.sum(x).alias(f"_t_{x}") for x in ["n", *_SUMS]])
+    beside = own.select(*KEYS).join(_renamed(total, WHOLE), _same(WHOLE)).drop(*["_r_" + k for k in WHOLE])
+    beside = beside.join(_renamed(limbs.select(*KEYS, "_unit", "n", *_SUMS), [*KEYS, "_unit"]), _same([*KEYS, "_unit"]), "left")
     zero = F.lit(0).cast("decimal(38,0)")
-
-    def less(t: Column) -> Column:
-        m = F.try_element_at(mine, t["unit"])
-        return F.struct(t["unit"].alias("unit"), (t["n"] - F.coalesce(m["n"], F.lit(0))).alias("n"), *[(t[x] - F.coalesce(m[x], zero)).cast("decimal(38,0)").alias(x) for x in _SUMS])
-
-    out = out.withColumn("_rest", F.filter(F.transform("_all", less), lambda x: x["n"] > 0))
-    out = out.withColumns({"_a": _merged("_limbs"), "_b": _merged("_rest")})
-    power = lambda k: F.aggregate("_limbs", F.lit(0.0), lambda acc, x: acc + _power(x, k))
+    sums = beside.select(*KEYS, F.col("_unit").alias("unit"), F.coalesce("n", F.lit(0)).alias("a_n"), *[F.coalesce(F.col(x).cast("decimal(38,0)"), zero).alias(f"a_{x}") for x in _SUMS], F.col("_t_n").alias("b_n"), *[F.col(f"_t_{x}").cast("decimal(38,0)").alias(f"b_{x}") for x in _SUMS])
+    sums = sums.withColumns({f"b_{x}": F.col(f"b_{x}") - F.col(f"a_{x}") for x in ["n", *_SUMS]})
+    moments = _limb(_limb(sums, "a"), "b")
+    powers = [F.coalesce(F.sum(_power(k)), F.lit(0.0)).alias(f"p{k}") for k in (1, 2)]
+    moments = moments.groupBy(*KEYS).agg(*[F.collect_list(f"{p}_m").alias(f"_{p}") for p in "ab"], *powers)
+    out = own.join(_renamed(moments, KEYS), _same(KEYS), "left").drop(*["_r_" + k for k in KEYS])
+    out = out.withColumns({"_a": _merged("_a"), "_b": _merged("_b")})
     pooled = F.hypot("_a.dev", "_b.dev") / F.sqrt(F.lit(2.0))
     mean, dev = (lambda m: F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.mean"))), (lambda m: F.when(F.col(f"{m}.n") > 0, F.col(f"{m}.dev")))
     return out.select(
         *KEYS, "n_rows", "n_missing", "n_out_of_range", "n_off_pattern", "least", "greatest",
-        (F.col("n_rows") - F.col("n_missing") - F.aggregate("_limbs", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])).alias("n_infinite"),
-        F.col("_a.n").cast("long").alias("p0"), power(1).alias("p1"), power(2).alias("p2"), mean("_a").alias("mean"), dev("_a").alias("deviation"),
+        (F.col("n_rows") - F.col("n_missing") - F.col("_a.n").cast("long")).alias("n_infinite"),
+        F.col("_a.n").cast("long").alias("p0"), F.coalesce("p1", F.lit(0.0)).alias("p1"), F.coalesce("p2", F.lit(0.0)).alias("p2"), mean("_a").alias("mean"), dev("_a").alias("deviation"),
         F.col("_b.n").cast("long").alias("other_n"), mean("_b").alias("other_mean"), dev("_b").alias("other_deviation"),
         ((mean("_a") - mean("_b")) / F.nullif(pooled, F.lit(0.0))).alias("std_diff"),
     )
 
 
-def _power(x: Column, k: int) -> Column:
-    """A limb's sum of values (k 1) or of squares (k 2) as a double."""
-    d = lambda name: x[name].cast("double")
+def _renamed(t: DataFrame, keys: list[str]) -> DataFrame:
+    """``t`` with its keys under other names, for a join that takes NULL for a key."""
+    return t.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in t.columns if c not in keys])
+
+
+def _same(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys]
+
+
+def _power(k: int) -> Column:
+    """A load's part of a limb: its sum of values (k 1) or of squares (k 2) as a double."""
+    d, u = (lambda name: F.col(f"a_{name}").cast("double")), F.col("unit")
     if k == 1:
-        return _scaled(d("h") * float(1 << _HALF) + d("l"), x["unit"])
-    return _scaled(_scaled(d("hh") * float(1 << 2 * _HALF) + d("hl") * float(1 << _HALF + 1) + d("ll"), x["unit"]), x["unit"])
-
-
-def _limb(x: Column) -> Column:
-    """Count, mean and deviation of a limb's values from its exact sums, taken around a whole number near the mean, so close values don't cancel."""
-    n = x["n"].cast("decimal(20,0)")
-    first = (x["h"] * F.lit(1 << _HALF).cast("decimal(11,0)") + x["l"]).cast("decimal(38,0)")
-    c = (first.cast("double") / x["n"]).cast("long")
-    ch, cl = F.shiftright(c, _HALF).cast("decimal(20,0)"), c.bitwiseAND(F.lit((1 << _HALF) - 1)).cast("decimal(20,0)")
-    d38 = lambda v: v.cast("decimal(38,0)")
-    off = (first - d38(n * c.cast("decimal(20,0)"))).cast("double") / x["n"]
-    a = d38(x["hh"] - d38(ch * x["h"]) * 2 + d38(d38(ch * ch) * n))
-    b = d38(x["hl"] - d38(ch * x["l"]) - d38(cl * x["h"]) + d38(d38(ch * cl) * n))
-    e = d38(x["ll"] - d38(cl * x["l"]) * 2 + d38(d38(cl * cl) * n))
-    exact = d38(d38(F.when(F.abs(a) < 1e15, a) * F.lit(1 << 2 * _HALF).cast("decimal(20,0)")) + d38(F.when(F.abs(b) < 1e27, b) * F.lit(1 << _HALF + 1).cast("decimal(11,0)")) + e)
-    around = F.coalesce(exact.cast("double"), a.cast("double") * float(1 << 2 * _HALF) + b.cast("double") * float(1 << _HALF + 1) + e.cast("double")) / x["n"]
-    return F.struct(x["n"].cast("double").alias("n"), _scaled(c.cast("double") + off, x["unit"]).alias("mean"), _scaled(F.sqrt(F.greatest(around - off * off, F.lit(0.0))), x["unit"]).alias("dev"))
-
-
-def _merged(limbs: str) -> Column:
+        return _scaled(d("h") * float(1 << _HALF) + d("l"), u)
+    return _scaled(_scaled(d("hh") * float(1 << 2 * _HALF) + d("hl") * float(1 << _HALF + 1) + d("ll"), u), u)
+
+
+def _limb(df: DataFrame, p: str) -> DataFrame:
+    """``df`` with ``{p}_m``: count, mean and deviation of a limb's values from its exact sums, NULL if it has none.
+
+    They are taken around a whole number near the mean, so close values don't cancel.
+    """
+    big = lambda v: v.cast("decimal(38,0)")
+    of = {x: F.col(f"{p}_{x}") for x in _SUMS}
+    n, real = F.col("_n").cast("decimal(20,0)"), F.col("_n").cast("double")
+    df = df.withColumn("_n", F.when(F.col(f"{p}_n") > 0, F.col(f"{p}_n"))).withColumn("_first", big(of["h"] * F.lit(1 << _HALF).cast("decimal(11,0)") + of["l"]))
+    df = df.withColumn("_c", (F.col("_first").cast("double") / real).cast("long"))
+    df = df.withColumns({"_ch": F.shiftright("_c", _HALF).cast("decimal(20,0)"), "_cl": F.col("_c").bitwiseAND(F.lit((1 << _HALF) - 1)).cast("decimal(20,0)")})
+    ch, cl = F.col("_ch"), F.col("_cl")
+    df = df.withColumns({
+        "_off": (F.col("_first") - big(n * F.col("_c").cast("decimal(20,0)"))).cast("double") / real,
+        "_s1": big(of["hh"] - big(ch * of["h"]) * 2 + big(big(ch * ch) * n)),
+        "_s2": big(of["hl"] - big(ch * of["l"]) - big(cl * of["h"]) + big(big(ch * cl) * n)),
+        "_s3": big(of["ll"] - big(cl * of["l"]) * 2 + big(big(cl * cl) * n)),
+    })
+    exact = big(big(F.when(F.abs("_s1") < 1e15, F.col("_s1")) * F.lit(1 << 2 * _HALF).cast("decimal(20,0)")) + big(F.when(F.abs("_s2") < 1e27, F.col("_s2")) * F.lit(1 << _HALF + 1).cast("decimal(11,0)")) + F.col("_s3"))
+    rough = F.col("_s1").cast("double") * float(1 << 2 * _HALF) + F.col("_s2").cast("double") * float(1 << _HALF + 1) + F.col("_s3").cast("double")
+    df = df.withColumn("_var", F.coalesce(exact.cast("double"), rough) / real - F.col("_off") * F.col("_off"))
+    made = F.struct(real.alias("n"), _scaled(F.col("_c").cast("double") + F.col("_off"), F.col("unit")).alias("mean"), _scaled(F.sqrt(F.greatest("_var", F.lit(0.0))), F.col("unit")).alias("dev"))
+    return df.withColumn(f"{p}_m", F.when(F.col("_n").isNotNull(), made))
+
+
+def _merged(moments: str) -> Column:
     """Count, mean and deviation of all limbs together."""
     none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("dev"))
 
@@ -135,7 +159,7 @@ def _merged(limbs: str) -> Column:
         dev = F.hypot(F.hypot(a["dev"] * F.sqrt(a["n"] / n), b["dev"] * F.sqrt(b["n"] / n)), apart * (F.sqrt(a["n"] * b["n"]) / n))
         return F.struct(n.alias("n"), (a["mean"] + apart * (b["n"] / n)).alias("mean"), dev.alias("dev"))
 
-    return F.aggregate(F.transform(limbs, _limb), none, lambda acc, x: F.when(acc["n"] == 0, x).otherwise(both(acc, x)))
+    return F.aggregate(F.coalesce(moments, F.array().cast("array<struct<n:double,mean:double,dev:double>>")), none, lambda acc, x: F.when(acc["n"] == 0, x).otherwise(both(acc, x)))
 
 
 def surely_shifted() -> Column:
@@ -151,14 +175,14 @@ def surely_shifted() -> Column:
     return F.coalesce((n > 1) & (F.abs(F.col("mean") - F.col("other_mean")) > reach + slack) & (F.col("n_infinite") == 0), F.lit(False))
 
 
-def _bin(v: Column) -> Column:
-    """A whole number that doesn't fall as v rises: 16 bins an octave on either side of 0."""
-    return (F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.least(F.abs(v), F.lit(1e300)) * 1048576.0) * 16)).cast("long")
+def _bin(v: str) -> str:
+    """SQL for a whole number that doesn't fall as v rises: 16 bins an octave on either side of 0."""
+    return f"CAST(signum({v}) * floor(log2(1D + least(abs({v}), 1e300D) * 1048576D) * 16) AS bigint)"
 
 
 def histogram(values: DataFrame) -> DataFrame:
     """group, load, column_name, _bin, _own: how many values lie in each bin."""
-    return values.where(F.col("num").isNotNull()).groupBy(*KEYS, _bin(F.col("num")).alias("_bin")).agg(F.count(F.lit(1)).alias("_own"))
+    return values.where(F.col("num").isNotNull()).groupBy(*KEYS, F.expr(_bin("num")).alias("_bin")).agg(F.count(F.lit(1)).alias("_own"))
 
 
 def placed(bins: DataFrame) -> DataFrame:
@@ -192,16 +216,14 @@ def selected(df: DataFrame, group: str, load: str, numbers: list[str], bins: Dat
     Exact, with linear interpolation; NULL where a set is empty. ``bins`` (``histogram``) tells in which bin each wanted order statistic
     lies; only those bins' values are taken from the rows and ordered. ``only`` (KEYS) restricts the cells for which they are wanted.
     """
-    same = lambda a, b, keys: [F.col(a + k).eqNullSafe(F.col(b + k)) for k in keys]
-    renamed = lambda t, keys: t.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in t.columns if c not in keys])
     own, total = bins, bins.groupBy(*WHOLE, "_bin").agg(F.sum("_own").alias("_all"))
     loads = own.groupBy(*KEYS).agg(F.sum("_own").alias("n"))
     sizes = loads.withColumn("_others", F.sum("n").over(Window.partitionBy(*WHOLE)) - F.col("n"))
     if only is not None:
-        sizes = sizes.join(renamed(only.select(*KEYS), KEYS), same("", "_r_", KEYS), "left_semi")
+        sizes = sizes.join(_renamed(only.select(*KEYS), KEYS), _same(KEYS), "left_semi")
     # the bins of a group and column, beside each of its loads: summaries, whose number the rows don't change
-    table = sizes.join(renamed(total, WHOLE), same("", "_r_", WHOLE)).drop(*["_r_" + k for k in WHOLE])
-    table = table.join(renamed(own, [*KEYS, "_bin"]), same("", "_r_", [*KEYS, "_bin"]), "left").drop(*["_r_" + k for k in [*KEYS, "_bin"]]).withColumn("_own", F.coalesce("_own", F.lit(0)))
+    table = sizes.join(_renamed(total, WHOLE), _same(WHOLE)).drop(*["_r_" + k for k in WHOLE])
+    table = table.join(_renamed(own, [*KEYS, "_bin"]), _same([*KEYS, "_bin"]), "left").drop(*["_r_" + k for k in [*KEYS, "_bin"]]).withColumn("_own", F.coalesce("_own", F.lit(0)))
     upto = Window.partitionBy(*KEYS).orderBy("_bin")
     table = table.withColumns({"_c_own": F.sum("_own").over(upto), "_c_oth": F.sum(F.col("_all") - F.col("_own")).over(upto)})
 
@@ -214,15 +236,16 @@ def selected(df: DataFrame, group: str, load: str, numbers: list[str], bins: Dat
     want = [*wanted("median", 0.5, "n", "_c_own", F.col("_own"), False), *wanted("q25", 0.25, "_others", "_c_oth", other_here, True), *wanted("q75", 0.75, "_others", "_c_oth", other_here, True)]
     targets = table.select(*KEYS, "_bin", F.inline(F.array(*want))).where("hit")
     # the bins wanted of each column, one row a group, copied to the salts over which its rows are spread
-    sought = targets.groupBy("group").agg(*[F.collect_set(F.when(F.col("column_name") == c, F.col("_bin"))).alias(f"_w{i}") for i, c in enumerate(numbers)])
+    sought = targets.groupBy("group").agg(*[F.expr(f"collect_set(CASE WHEN column_name = {_text(c)} THEN _bin END)").alias(f"_w{i}") for i, c in enumerate(numbers)])
     sought = sought.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("group", "_g")
-    rows = df.select(col(group).alias("group"), col(load).alias("load"), *[present(col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(numbers)])
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[f"_v{i}" for i in range(len(numbers))]), F.lit(SALTS)).cast("int"))
+    rows = df.select(col(group).alias("group"), col(load).alias("load"), *[F.expr(_number(c)).alias(f"_v{i}") for i, c in enumerate(numbers)])
+    # any salt is right, as what is sought is at all of them; a partition's number is known to no other expression, so no constraints are inferred from it
+    rows = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int"))
     rows = rows.join(sought, F.col("group").eqNullSafe(F.col("_g")) & (F.col("_salt") == F.col("_s")))
-    found = [F.when(F.array_contains(f"_w{i}", _bin(F.col(f"_v{i}"))), F.struct(F.lit(c).alias("column_name"), _bin(F.col(f"_v{i}")).alias("_bin"), F.col(f"_v{i}").alias("num"))) for i, c in enumerate(numbers)]
-    v = rows.select("group", "load", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull()))).groupBy(*KEYS, "_bin", "num").agg(F.count(F.lit(1)).alias("n"))
+    found = [f"CASE WHEN array_contains(_w{i}, {_bin(f'_v{i}')}) THEN named_struct('column_name', {_text(c)}, '_bin', {_bin(f'_v{i}')}, 'num', _v{i}) END" for i, c in enumerate(numbers)]
+    v = rows.selectExpr("group", "load", f"inline(array_compact(array({', '.join(found)})))").groupBy(*KEYS, "_bin", "num").agg(F.count(F.lit(1)).alias("n"))
     cand = v.select(F.col("group").alias("_r_group"), F.col("column_name").alias("_r_column_name"), F.col("_bin").alias("_r__bin"), F.col("load").alias("_load"), "num", "n")
-    met = targets.join(cand, same("", "_r_", [*WHOLE, "_bin"])).where(F.col("others") == ~F.col("load").eqNullSafe(F.col("_load")))
+    met = targets.join(cand, _same([*WHOLE, "_bin"])).where(F.col("others") == ~F.col("load").eqNullSafe(F.col("_load")))
     met = met.groupBy(*KEYS, "what", "rank", "part", "num").agg(F.sum("n").alias("n"))
     met = met.withColumn("_c", F.sum("n").over(Window.partitionBy(*KEYS, "what").orderBy("num")))
     hit = met.where((F.col("_c") > F.col("rank")) & (F.col("_c") - F.col("n") <= F.col("rank")))
@@ -230,5 +253,5 @@ def selected(df: DataFrame, group: str, load: str, numbers: list[str], bins: Dat
     part = lambda w: F.max(F.when(F.col("what") == w, F.col("part")))
     between = lambda a, b, p: F.when(a == b, a).otherwise(a + (b - a) * p)  # noqa: E731 - infinities have no difference
     value = lambda w: between(pick(f"{w}0"), pick(f"{w}1"), part(f"{w}0")).alias(w)
-    out = renamed(hit.groupBy(*KEYS).agg(value("median"), value("q25"), value("q75")), KEYS)
-    return sizes.drop("_others").join(out, same("", "_r_", KEYS), "left").drop(*["_r_" + k for k in KEYS])
+    out = _renamed(hit.groupBy(*KEYS).agg(value("median"), value("q25"), value("q75")), KEYS)
+    return sizes.drop("_others").join(out, _same(KEYS), "left").drop(*["_r_" + k for k in KEYS])
