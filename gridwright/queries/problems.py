@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -250,8 +248,9 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
     bars = table(spark, d, "prices").select(*BARS, "loaded_at", *values)
     bars = counting(bars, BARS, ["loaded_at", "bar_id"], {v: F.col(v) if v == "bar_id" else present(v) for v in values})
     impossible = {"adj_close": F.col("adj_close") <= 0, "volume": F.col("volume") < 0, "adj_high": F.col("adj_high") < F.greatest("adj_open", "adj_low", "adj_close")}
-    price = spikes.Tail()
-    tails = {"adj_close": price, "volume": spikes.Tail(risk=1e-4, least=math.log(10)), "adj_high": price}
+    price = spikes.Tail(risk=6e-6)
+    # busy days are no wrong readings: a smaller risk
+    tails = {"adj_close": price, "volume": spikes.Tail(risk=3e-8), "adj_high": price}
     return spikes.flag(bars, ["symbol", "exchange"], "bar_id", "day", tails, impossible)
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridwright.operators import spikes as S
@@ -11,7 +12,9 @@ def walk(n=300, sd=0.01, seed=1):
 
 
 def spiked(x, **kw):
-    return set(np.flatnonzero(S.judge(x, np.arange(len(x)) % 5, S.Tail(**kw))[0]))
+    tail = S.Tail(**kw)
+    z, _, usable = S.judge(x, np.arange(len(x)) % 5, tail)
+    return set(np.flatnonzero(z > S.cutoff(S.counted(z[usable]), tail.risk)))
 
 
 def test_planted_cases():
@@ -42,11 +45,28 @@ def test_stuck():
 
 
 def test_cutoff_keeps_its_risk():
-    score = np.random.default_rng(0).exponential(1.0, 200_000)
-    assert (score > S.cutoff(score, 1e-3)).mean() < 2e-3
-    clean = S.cutoff(score, 1e-4)
-    score[:2000] = 1e6
-    assert S.cutoff(score, 1e-4) < 1.3 * clean
+    rng = np.random.default_rng(0)
+    for shape in (0.0, 0.15):
+        score = rng.exponential(1.0, 400_000) if not shape else (rng.uniform(size=400_000) ** -shape - 1) / shape
+        clean = S.cutoff(S.counted(score), 1e-3)
+        assert 4e-4 < (score > clean).mean() < 2e-3
+        score[:4000] = 1e6  # a hundredth is implausible
+        assert clean <= S.cutoff(S.counted(score), 1e-3) < 1.35 * clean
+    assert S.cutoff(S.counted(np.zeros(50)), 1e-3) == np.inf and S.cutoff(S.counted(np.zeros(0)), 1e-3) == np.inf
+
+
+def test_counts_of_sources_add_up():
+    a, b = np.random.default_rng(1).exponential(2.0, (2, 500))
+    assert (S.counted(a) + S.counted(b) == S.counted(np.concatenate([a, b]))).all()
+    assert S.counted(np.array([0.5, 0.50001, np.inf, -3.0])).sum() == 4
+
+
+def test_sources_that_hardly_move():
+    x = np.full(100, 5.0)
+    x[40] = 5.1
+    assert S.standardised(S.excursion(np.log(x)))[40] == np.inf and not S.standardised(np.zeros(9)).any() and not len(S.standardised(np.zeros(0)))
+    x[::9] *= 1.01  # more than a few move
+    assert np.isfinite(S.standardised(S.excursion(np.log(x)))).all()
 
 
 def test_flag(spark):
@@ -58,3 +78,5 @@ def test_flag(spark):
     got = {(r["id"], r["spike"], r["impossible"]) for r in S.flag(df, ["src"], "id", "d", {"v": S.Tail()}, {"v": (F.col("v") <= 0) | (F.col("high") < F.col("v"))}).collect()}
     assert got == {(30, True, False), (1000, False, True)}
     assert S.flag(df.limit(0), ["src"], "id", "d", {"v": S.Tail()}, {"v": F.col("v") <= 0}).count() == 0
+    with pytest.raises(ValueError, match="risk"):
+        S.Tail(risk=0.5)
