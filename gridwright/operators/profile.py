@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col
+from gridwright.session import staged
 
 KEYS = ["group", "load", "column_name"]
 WHOLE = ["group", "column_name"]
@@ -84,6 +85,7 @@ def described(values: DataFrame, specs: DataFrame) -> DataFrame:
         F.sum(whole(F.col("_h") * F.col("_l"))).alias("hl"),
         F.sum(whole(F.col("_l") * F.col("_l"))).alias("ll"),
     )
+    limbs = staged(limbs, "limbs")  # read three times
     own = limbs.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in ("n_rows", "n_missing", "n_out_of_range", "n_off_pattern")], F.min("least").alias("least"), F.max("greatest").alias("greatest"))
     # each load beside the limbs of all loads of its group and column, at most 260
     total = limbs.where(F.col("n") > 0).groupBy(*WHOLE, "_unit").agg(*[F.sum(x).alias(f"_t_{x}") for x in ["n", *_SUMS]])
@@ -176,8 +178,8 @@ def surely_shifted() -> Column:
 
 
 def _bin(v: str) -> str:
-    """SQL for a whole number that doesn't fall as v rises: 16 bins an octave on either side of 0."""
-    return f"CAST(signum({v}) * floor(log2(1D + least(abs({v}), 1e300D) * 1048576D) * 16) AS bigint)"
+    """SQL for a whole number that doesn't fall as v rises: 8 bins an octave on either side of 0."""
+    return f"CAST(signum({v}) * floor(log2(1D + least(abs({v}), 1e300D) * 1048576D) * 8) AS bigint)"
 
 
 def histogram(values: DataFrame) -> DataFrame:
