@@ -13,6 +13,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from dataclasses import field as dc_field
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col
+from gridwright.session import staged
 
 HASHES = 16
 QUANTILES = [i / 10 for i in range(1, 10)]
@@ -28,6 +31,7 @@ CELL = "kind string, feed string, file_no long, file_id long, path string, type
 _DAY = re.compile(r"(?:19|20)\d\d-?[01]\d-?[0-3]\d|[0-3]?\d[/.][0-3]?\d[/.](?:19|20)\d\d")
 # what _DAY accepts, brought to year-month-day
 DAY_LAYOUTS = {r"^\s*(\d{4})-?(\d{2})-?(\d{2})\s*$": "$1-$2-$3", r"^\s*(\d{1,2})[/.](\d{1,2})[/.](\d{4})\s*$": "$3-$2-$1"}
+_STARTS = frozenset("0123456789+-.")  # of texts that may be finite numbers
 _FLAGS = {"0", "1", "0.0", "1.0", "true", "false", "yes", "no", "y", "n"}
 
 
@@ -45,31 +49,43 @@ def flat(value, path: str = "") -> Iterator[tuple[str, object]]:
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        heads = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-        out = []
-        for head, body in zip(heads, batch.column(4).to_pylist(), strict=True):
+        at, paths, types, nums, days, flags, texts = [], [], [], [], [], [], []
+        for row, body in enumerate(batch.column(4).to_pylist()):
             try:
                 line = json.loads(body)
             except (ValueError, TypeError, RecursionError):
                 continue
             if not isinstance(line, dict):
                 continue
-            for path, v in flat(line):
-                if v is None:
-                    out.append((*head, path, None, None, None, None, None))
-                    continue
-                kind = "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "number"
-                text = str(v)
-                day = bool(_DAY.fullmatch(text.strip()))
-                try:
-                    num = float(v)
-                    num = num if abs(num) < 1e300 else None
-                except (ValueError, OverflowError):
-                    num = None
-                out.append((*head, path, kind, num, day, text.strip().lower() in _FLAGS, text))
-        cols = list(zip(*out, strict=True)) or [()] * 10
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "feed", "file_no", "file_id", "path", "type", "num", "day", "flag", "txt"])
+            cells = flat(line) if any(isinstance(v, dict | list) for v in line.values()) else line.items()
+            for path, v in cells:
+                kind, num, day, flag, text = None, None, None, None, None
+                if isinstance(v, bool):
+                    kind, num, day, flag = "boolean", float(v), False, True
+                elif isinstance(v, str):
+                    text, bare = v, v.strip()
+                    kind, day, flag = "string", bool(_DAY.fullmatch(bare)), bare.lower() in _FLAGS
+                    try:
+                        num = float(bare) if bare[:1] in _STARTS else None
+                    except ValueError:
+                        pass
+                elif v is not None:
+                    kind, day, flag = "number", isinstance(v, int) and 19000000 <= v < 21000000 and bool(_DAY.fullmatch(str(v))), v in (0, 1)
+                    try:
+                        num = float(v)
+                    except OverflowError:
+                        pass
+                at.append(row)
+                paths.append(path)
+                types.append(kind)
+                nums.append(num if num is not None and abs(num) < 1e300 else None)
+                days.append(day)
+                flags.append(flag)
+                texts.append(text)
+        heads = pa.array(at, pa.int64())
+        made = [batch.column(i).take(heads) for i in range(4)]
+        made += [pa.array(c, t) for c, t in zip((paths, types, nums, days, flags, texts), (pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays(made, names=["kind", "feed", "file_no", "file_id", "path", "type", "num", "day", "flag", "txt"])
 
 
 def signatures(raw: DataFrame, kind: str = "kind", feed: str = "feed", file_no: str = "file_no", file_id: str = "file_id", body: str = "body") -> DataFrame:
@@ -83,7 +99,7 @@ def signatures(raw: DataFrame, kind: str = "kind", feed: str = "feed", file_no:
     scaled = F.signum("num") * F.log1p(F.abs("num") * 10000.0)
     aggs = [F.count(F.when(F.col("type") == t, 1)).alias(f"n_{t}") for t in ("boolean", "number", "string")]
     aggs += [F.count("type").alias("n"), F.count("num").alias("n_num"), F.count(F.when(F.col("day"), 1)).alias("n_day"), F.count(F.when(F.col("flag"), 1)).alias("n_flag")]
-    aggs += [F.percentile_approx(scaled, QUANTILES, 2000).alias("quantiles"), F.array(*[F.min(F.xxhash64("txt", F.lit(i))) for i in range(HASHES)]).alias("hashes")]
+    aggs += [F.percentile_approx(scaled, QUANTILES, 2000).alias("quantiles"), F.array(*[F.min(F.when(F.col("txt").isNotNull(), F.xxhash64("txt", F.lit(i)))) for i in range(HASHES)]).alias("hashes")]
     out = cells.groupBy(*FILE, "path").agg(*aggs)
     most = F.greatest("n_boolean", "n_number", "n_string")
     return out.withColumn("type", F.when(most == 0, None).when(F.col("n_boolean") == most, "boolean").when(F.col("n_number") == most, "number").otherwise("string"))
@@ -108,7 +124,7 @@ def difference(a: dict, b: dict) -> float:
     if kind == "number":
         return float(np.mean(np.abs(np.array(a["quantiles"]) - np.array(b["quantiles"])))) / 0.7
     if kind == "text":
-        return 1.25 - sum(x == y for x, y in zip(a["hashes"], b["hashes"], strict=True)) / HASHES
+        return 1.25 - sum(x == y is not None for x, y in zip(a["hashes"], b["hashes"], strict=True)) / HASHES
     return 0.3
 
 
@@ -141,137 +157,221 @@ def assigned(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
-def _children(fields: dict[str, dict], at: str) -> dict[str, str]:
-    """Child names below a node and their paths."""
-    out = {}
-    for path in fields:
-        if at and not path.startswith(f"{at}."):
-            continue
-        name = path[len(at) + 1 if at else 0 :].split(".")[0]
-        out[name] = f"{at}.{name}" if at else name
-    return out
+LEAF, RETYPED, RENAMED, MOVED = 1.0, 0.5, 0.1, 0.5
 
 
-def _below(fields: dict[str, dict], at: str) -> list[str]:
-    return [p for p in fields if p == at or p.startswith(f"{at}.")]
+@dataclass
+class Tree:
+    """A node of a schema: a field if it has no inner nodes. What is sometimes a value and sometimes an object has the value as a field without a name."""
 
+    name: str
+    path: str
+    field: dict | None = None
+    inner: dict[str, Tree] = dc_field(default_factory=dict)
+
+    @property
+    def leaf(self) -> bool:
+        return not self.inner
+
+    def leaves(self) -> Iterator[Tree]:
+        if self.leaf:
+            yield self
+        for x in self.inner.values():
+            yield from x.leaves()
 
-def tree_script(old: dict[str, dict], new: dict[str, dict], apart: set[tuple[str, str]]) -> list[tuple[str, str, str]]:
-    """(change, old path, new path) of the cheapest script between two schema trees.
 
-    Nodes of one name under matched parents are the same. The others are matched level by level: removing or adding a
-    leaf costs 1, renaming it the difference of its values; a subtree's rename costs what its own script costs. What is left removed and
-    added elsewhere under its name is a move. Pairs of names in ``apart`` are known to be two quantities.
+def above(fields: dict[str, dict]) -> set[str]:
+    """The paths of inner nodes."""
+    return {p[:k] for p in fields for k, c in enumerate(p) if c == "."}
+
+
+def tree(fields: dict[str, dict], without: set[str] = frozenset(), opened: set[str] = frozenset()) -> Tree:
+    """The tree of all fields but ``without``; a field whose path is in ``opened`` is an inner node with the value below it."""
+    root = Tree("", "")
+    for path in sorted(fields):
+        if path in without:
+            continue
+        at = root
+        names = path.split(".")
+        for k, name in enumerate(names):
+            if at.field is not None:
+                at.inner[""] = Tree("", at.path, at.field)
+                at.field = None
+            at = at.inner.setdefault(name, Tree(name, ".".join(names[: k + 1])))
+        if at.inner or path in opened:
+            at.inner[""] = Tree("", path, fields[path])
+        else:
+            at.field = fields[path]
+    return root
+
+
+class Distance:
+    """The edit distance of two schema trees in which matched nodes have matched parents, and the script behind it.
+
+    Nodes of one name under matched parents are the same. To remove or add a field costs LEAF, so a subtree costs what its fields do; to
+    retype one RETYPED; to rename a field the difference of its values, if below 1; to rename an inner node RENAMED and the
+    distance of what is below. Of all assignments of what is left under two matched parents the cheapest is taken, level by level, so costs are those of whole subtrees.
     """
-    script: list[tuple[str, str, str]] = []
-
-    def cost(a: str, b: str) -> float:
-        leaf_a, leaf_b = a in old, b in new
-        if leaf_a != leaf_b or (a, b) in apart or (b, a) in apart:
-            return 99.0
-        if leaf_a:
-            return difference(old[a], new[b])
-        inner_a, inner_b = _children(old, a), _children(new, b)
-        same = len(inner_a.keys() & inner_b.keys())
-        return 1.0 + len(inner_a) + len(inner_b) - 3.0 * same
-
-    def walk(a: str, b: str) -> None:
-        left, right = _children(old, a), _children(new, b)
-        for name in sorted(left.keys() & right.keys()):
-            x, y = left[name], right[name]
-            if x in old and y in new:
-                if old[x]["type"] and new[y]["type"] and old[x]["type"] != new[y]["type"]:
-                    script.append(("retyped", x, y))
-            elif x in old or y in new:
-                script.extend([("removed", p, "") for p in _below(old, x)] + [("added", "", p) for p in _below(new, y)])
-            else:
-                walk(x, y)
-        gone, come = sorted(left.keys() - right.keys()), sorted(right.keys() - left.keys())
-        kept: set[str] = set()
+
+    def __init__(self, apart: set[tuple[str, str]]) -> None:
+        self.apart, self.known = apart, {}
+
+    def pair(self, a: Tree, b: Tree) -> float:
+        """What it costs to make a matched a into b; infinite if that can't be."""
+        if a.leaf != b.leaf:
+            return float("inf")
+        if a.leaf:
+            if a.name == b.name:
+                return RETYPED if retyped(a.field, b.field) else 0.0
+            if (a.path, b.path) in self.apart or (b.path, a.path) in self.apart:
+                return float("inf")
+            d = difference(a.field, b.field)
+            return d if d < 1.0 else float("inf")
+        key = (a.path, b.path)
+        if key not in self.known:
+            self.known[key] = self._below(a, b)
+        return self.known[key][0] + (RENAMED if a.name != b.name else 0.0)
+
+    def _below(self, a: Tree, b: Tree) -> tuple[float, list[tuple[Tree, Tree]], list[Tree], list[Tree]]:
+        same = [(x, b.inner[n]) for n, x in sorted(a.inner.items()) if n in b.inner and x.leaf == b.inner[n].leaf]
+        met = {x.name for x, _ in same}
+        gone, come = ([x for n, x in sorted(t.inner.items()) if n not in met] for t in (a, b))
+        price = lambda t: LEAF * sum(1 for _ in t.leaves())
+        lost, won = np.array([price(x) for x in gone]), np.array([price(x) for x in come])
+        total = sum(self.pair(x, y) for x, y in same) + lost.sum() + won.sum()
         if gone and come:
-            costs = np.array([[min(cost(left[g], right[c]), 2.0) for c in come] for g in gone])
-            for i, j in assigned(costs):
-                if costs[i, j] < 1.0:
-                    x, y = left[gone[i]], right[come[j]]
-                    script.append(("renamed", x, y))
-                    kept |= {x, y}
-                    if x not in old:
-                        walk(x, y)
-        script.extend(("removed", p, "") for g in gone if left[g] not in kept for p in _below(old, left[g]))
-        script.extend(("added", "", p) for c in come if right[c] not in kept for p in _below(new, right[c]))
-
-    walk("", "")
-    leaf = lambda p: p.rsplit(".", 1)[-1]
-    for _, x, _ in [s for s in script if s[0] == "removed"]:
-        for _, _, y in [s for s in script if s[0] == "added"]:
-            if leaf(x) == leaf(y) and difference(old[x], new[y]) < 1.0:
-                script.remove(("removed", x, ""))
-                script.remove(("added", "", y))
-                script.append(("moved", x, y))
-                break
+            saved = np.array([[min(self.pair(x, y) - lost[i] - won[j], 0.0) if x.name != y.name else 0.0 for j, y in enumerate(come)] for i, x in enumerate(gone)])
+            hits = [(i, j) for i, j in assigned(saved) if saved[i, j] < -1e-9]
+            total += sum(saved[i, j] for i, j in hits)
+            same += [(gone[i], come[j]) for i, j in hits]
+            gone, come = [x for i, x in enumerate(gone) if i not in {h[0] for h in hits}], [y for j, y in enumerate(come) if j not in {h[1] for h in hits}]
+        return float(total), same, gone, come
+
+    def script(self, a: Tree, b: Tree) -> Iterator[tuple[str, str, str]]:
+        self.pair(a, b)
+        _, same, gone, come = self.known[a.path, b.path]
+        for x, y in same:
+            if x.name != y.name:
+                yield "renamed", x.path, y.path
+            elif x.leaf and x.path != y.path:
+                yield "carried", x.path, y.path
+            if not x.leaf:
+                yield from self.script(x, y)
+            elif x.name == y.name and retyped(x.field, y.field):
+                yield "retyped", x.path, y.path
+        yield from (("removed", t.path, "") for x in gone for t in x.leaves())
+        yield from (("added", "", t.path) for x in come for t in x.leaves())
+
+
+def retyped(a: dict, b: dict) -> bool:
+    return bool(a["type"] and b["type"] and a["type"] != b["type"])
+
+
+def tree_script(old: dict[str, dict], new: dict[str, dict], apart: set[tuple[str, str]]) -> list[tuple[str, str, str]]:
+    """(change, old path, new path) of the cheapest script between two schema trees: ``Distance``, and moves of fields, which it can't express.
+
+    A field that goes on under its name below another parent costs MOVED. A move is taken into the script if that with the rest comes cheaper, the
+    one that saves most first. *carried* are fields that only lie below a renamed node. Pairs of names in ``apart`` are known to be two quantities.
+    """
+
+    def cheapest(moves: list[tuple[str, str]]) -> tuple[float, list[tuple[str, str, str]]]:
+        d = Distance(apart)
+        a, b = tree(old, {x for x, _ in moves}, above(new)), tree(new, {y for _, y in moves}, above(old))
+        a.inner, b.inner = a.inner or {"": Tree("", "", {"n": 0, "type": None})}, b.inner or {"": Tree("", "", {"n": 0, "type": None})}
+        out = [s for s in d.script(a, b) if s[1] or s[2]]
+        cost = d.pair(a, b) + sum(MOVED + RETYPED * retyped(old[x], new[y]) for x, y in moves)
+        return cost, out + [("moved", x, y) for x, y in moves] + [("retyped", x, y) for x, y in moves if retyped(old[x], new[y])]
+
+    name = lambda p: p.rsplit(".", 1)[-1]
+    moves: list[tuple[str, str]] = []
+    cost, script = cheapest(moves)
+    homes: dict[str, list[str]] = {}
+    for y in sorted(new.keys() - old.keys()):
+        homes.setdefault(name(y), []).append(y)
+    possible = [(x, y) for x in sorted(old.keys() - new.keys()) for y in homes.get(name(x), []) if x.count(".") or y.count(".")]
+    possible = [(x, y) for x, y in possible if difference(old[x], new[y]) < 1.0]
+    while possible:
+        tries = [(cheapest([*moves, m]), m) for m in possible]
+        (least, found), move = min(tries, key=lambda t: (t[0][0], t[1]))
+        if least > cost - 1e-9:
+            break
+        cost, script = least, found
+        moves.append(move)
+        possible = [m for m in possible if m[0] != move[0] and m[1] != move[1]]
     return script
 
 
-def together(fields: DataFrame, least: int = 2) -> DataFrame:
-    """kind, a, b: two names (a < b) that ``least`` or more files hold side by side, so they are two quantities. Bounded by the names, not the files."""
-    a = fields.groupBy(*FILE).agg(F.array_sort(F.collect_set("path")).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return a.select("kind", F.inline(pairs)).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("kind", "a", "b")
+def _side_by_side(fields: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
+    """Those of ``pairs`` (kind, a, b) that ``least`` or more files hold side by side, so they are two quantities."""
+    held = fields.select(*FILE, "path")
+    one = pairs.select("kind", "a", "b").distinct().join(held.withColumnRenamed("path", "a"), ["kind", "a"])
+    return one.join(held.withColumnRenamed("path", "b"), [*FILE, "b"]).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("kind", "a", "b")
 
 
 def scripts(fields: DataFrame) -> DataFrame:
     """kind, feed, file_no, file_id, change_kind, old_field, new_field: each file's changes against the feed's preceding file.
 
-    A feed's files are compared pair by pair; what is moved is two files' signatures. The names that occur side by side
-    somewhere are gathered for all comparisons: field names of the schemas, bounded whatever the number of files and lines.
+    A feed's files are compared pair by pair; what is moved is two files' signatures, and beside them the pairs of a name that went and one that came which
+    other files hold side by side.
     """
-    apart: dict[str, set[tuple[str, str]]] = {}
-    for r in together(fields).toLocalIterator():
-        apart.setdefault(r["kind"], set()).add((r["a"], r["b"]))
-    held = fields.sparkSession.sparkContext.broadcast(apart)
     cells = F.struct("path", "type", "n", "n_num", "n_day", "n_flag", "quantiles", "hashes")
     files = fields.groupBy(*FILE).agg(F.collect_list(cells).alias("new"))
     earlier = Window.partitionBy("kind", "feed").orderBy("file_no", "file_id")
     order = files.select(*FILE).withColumns({"p_no": F.lag("file_no").over(earlier), "p_id": F.lag("file_id").over(earlier)}).where(F.col("p_no").isNotNull())
     before = files.select(F.col("kind").alias("k"), F.col("feed").alias("f"), F.col("file_no").alias("p_no"), F.col("file_id").alias("p_id"), F.col("new").alias("old"))
     pairs = order.join(files, FILE).join(before, (F.col("k") == F.col("kind")) & (F.col("f") == F.col("feed")) & (before["p_no"] == order["p_no"]) & (before["p_id"] == order["p_id"]))
+    pairs = staged(pairs.select(*FILE, "old", "new"), "pairs")
+    names = lambda side: F.transform(side, lambda x: x["path"])
+    went = pairs.select(*FILE, F.explode(F.array_except(names("old"), names("new"))).alias("a"), F.array_except(names("new"), names("old")).alias("b")).withColumn("b", F.explode("b"))
+    met = went.join(_side_by_side(fields, went), ["kind", "a", "b"]).groupBy(*FILE).agg(F.collect_list(F.struct("a", "b")).alias("apart"))
+    pairs = pairs.join(met, FILE, "left")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 old, new = ({c["path"]: c for c in row[side]} for side in ("old", "new"))
-                out += [(row["kind"], row["feed"], row["file_no"], row["file_id"], *step) for step in tree_script(old, new, held.value.get(row["kind"], set()))]
+                out += [(row["kind"], row["feed"], row["file_no"], row["file_id"], *step) for step in tree_script(old, new, {(p["a"], p["b"]) for p in row["apart"] or ()})]
             cols = list(zip(*out, strict=True)) or [()] * 7
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "feed", "file_no", "file_id", "change_kind", "old_field", "new_field"])
 
-    return pairs.select(*FILE, "old", "new").mapInArrow(compared, "kind string, feed string, file_no long, file_id long, change_kind string, old_field string, new_field string")
+    return pairs.select(*FILE, "old", "new", "apart").mapInArrow(compared, "kind string, feed string, file_no long, file_id long, change_kind string, old_field string, new_field string")
 
 
 def alias_classes(fields: DataFrame, changes: DataFrame) -> dict[str, dict[str, list[str]]]:
-    """kind -> canonical name -> all names of that quantity, from the renames seen in all feeds.
+    """kind -> canonical name -> all names of that quantity, from the renames and moves seen in all feeds.
 
     Renames join names, the most frequent first, then names that differ only in case and separators; two classes
-    with members that occur in one file stay apart. The canonical name is the one most files use. Only field names reach the driver.
+    with members that occur in one file stay apart. The canonical name is the one most files use. Only field names reach the driver, and pairs of those that links connect.
     """
-    apart = {(r["kind"], r["a"], r["b"]) for r in together(fields).toLocalIterator()}
     used = {(r["kind"], r["path"]): r["n"] for r in fields.groupBy("kind", "path").agg(F.countDistinct("file_id").alias("n")).toLocalIterator()}
-    edges = changes.where(F.col("change_kind") == "renamed").groupBy("kind", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"))
-    group = {k: {k} for k in used}
+    edges = changes.where(F.col("change_kind").isin("renamed", "moved", "carried")).groupBy("kind", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"))
     links = [((e["kind"], e["old_field"]), (e["kind"], e["new_field"])) for e in sorted(edges.toLocalIterator(), key=lambda e: (-e["n"], e["kind"], e["old_field"], e["new_field"]))]
     plain: dict[tuple[str, str], tuple[str, str]] = {}
     for k in sorted(used, key=lambda k: (-used[k], k)):
         links.append((plain.setdefault((k[0], re.sub(r"[\W_]", "", k[1]).lower()), k), k))
-    for x, y in links:
-        a, b = group.get(x, set()), group.get(y, set())
-        if a is b or not a or not b:
-            continue
-        if any((x[0], *sorted((x[1], y[1]))) in apart for x in a for y in b):
-            continue
-        a |= b
-        for x in b:
-            group[x] = a
+    links = [(x, y) for x, y in links if x in used and y in used and x != y]
+
+    def joined(barred) -> dict[tuple[str, str], set[tuple[str, str]]]:
+        group = {k: {k} for k in used}
+        for x, y in links:
+            a, b = group[x], group[y]
+            if a is not b and not barred(a, b):
+                a |= b
+                for z in b:
+                    group[z] = a
+        return group
+
+    # which names links connect at all; of those, which occur side by side
+    spark = fields.sparkSession
+    loose = {id(g): g for g in joined(lambda a, b: False).values() if len(g) > 1}
+    rows = [(k, name, c) for c, g in enumerate(loose.values()) for k, name in sorted(g)]
+    near = fields.join(spark.createDataFrame(rows, "kind string, path string, _class int"), ["kind", "path"]).groupBy(*FILE, "_class").agg(F.array_sort(F.collect_set("path")).alias("names"))
+    pairs = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    met = near.where(F.size("names") > 1).select("kind", F.inline(pairs)).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    apart = {(r["kind"], r["a"], r["b"]) for r in met.toLocalIterator()}
+    group = joined(lambda a, b: any((x[0], *sorted((x[1], y[1]))) in apart for x in a for y in b))
     out: dict[str, dict[str, list[str]]] = {}
     for members in {id(g): g for g in group.values()}.values():
         ranked = sorted(members, key=lambda x: (-used[x], x[1]))

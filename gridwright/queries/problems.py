@@ -292,7 +292,8 @@ def _file_fields(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     fields = _file_fields(spark, d)
     changes = staged(drift.scripts(fields), "changes")
-    return drift.settled(changes, drift.alias_classes(fields, changes)).select("file_id", "change_kind", "old_field", "new_field")
+    out = drift.settled(changes, drift.alias_classes(fields, changes)).where(F.col("change_kind") != "carried")
+    return out.select("file_id", "change_kind", "old_field", "new_field")
 
 
 def _unified(spark: SparkSession, d: str, kind: str, row: dict[str, str]) -> DataFrame:

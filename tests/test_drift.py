@@ -32,6 +32,71 @@ def test_scripts_of_trees():
     assert ("renamed", "a.y", "a.z") not in D.tree_script(old, new, {("a.y", "a.z")})
 
 
+def test_subtrees_cost_what_their_scripts_cost():
+    f = lambda **kw: field(**kw)
+    far = field(quantiles=[50.0] * 9)
+    # a renamed object with one field renamed inside
+    assert sorted(D.tree_script({"a.x": f(), "a.y": far}, {"b.x": f(), "b.z": far}, set())) == [("carried", "a.x", "b.x"), ("renamed", "a", "b"), ("renamed", "a.y", "b.z")]
+    # two levels renamed
+    assert sorted(D.tree_script({"a.p.x": f(), "a.p.y": far}, {"b.q.x": f(), "b.q.y": far}, set())) == [("carried", "a.p.x", "b.q.x"), ("carried", "a.p.y", "b.q.y"), ("renamed", "a", "b"), ("renamed", "a.p", "b.q")]
+    # the cheaper of two objects is the one that goes on, however the names sort
+    old = {"m.u": f(), "m.v": far, "m.w": field(quantiles=[-9.0] * 9)}
+    new = {"k.u": f(), "n.v": far, "n.w": field(quantiles=[-9.0] * 9)}
+    assert sorted(s for s in D.tree_script(old, new, set()) if s[0] != "carried") == [("moved", "m.u", "k.u"), ("renamed", "m", "n")]
+    # a field leaves an object that stays
+    assert D.tree_script({"a.x": f(), "a.y": far}, {"a.x": f(), "y": far}, set()) == [("moved", "a.y", "y")]
+    assert sorted(D.tree_script({"a": f()}, {"a": f(), "a.b": far}, set())) == [("added", "", "a.b")]
+    assert D.tree_script({}, {"x": f()}, set()) == [("added", "", "x")] and D.tree_script({"x": f()}, {}, set()) == [("removed", "x", "")] and D.tree_script({}, {}, set()) == []
+
+
+def test_distance_is_least_over_all_scripts():
+    """Against every way of matching two small trees, level by level."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+
+    def some():
+        out = {}
+        for _ in range(rng.integers(1, 6)):
+            out[".".join(rng.choice(list("abc"), rng.integers(1, 4)))] = field(type=str(rng.choice(["number", "string"])), quantiles=[float(rng.integers(0, 3))] * 9)
+        return out
+
+    def brute(a, b):
+        if a.leaf != b.leaf:
+            return np.inf
+        if a.leaf:
+            if a.name == b.name:
+                return 0.5 * D.retyped(a.field, b.field)
+            d = D.difference(a.field, b.field)
+            return d if d < 1 else np.inf
+        same = [n for n in a.inner if n in b.inner and a.inner[n].leaf == b.inner[n].leaf]
+        left, right = [x for n, x in a.inner.items() if n not in same], [x for n, x in b.inner.items() if n not in same]
+        size = lambda t: sum(1 for _ in t.leaves())
+        best = np.inf
+        for k in range(min(len(left), len(right)) + 1):
+            for xs in itertools.combinations(left, k):
+                for ys in itertools.permutations(right, k):
+                    if all(x.name != y.name for x, y in zip(xs, ys, strict=True)):
+                        best = min(best, sum(brute(x, y) for x, y in zip(xs, ys, strict=True)) + sum(size(x) for x in left if x not in xs) + sum(size(y) for y in right if y not in ys))
+        return best + sum(brute(a.inner[n], b.inner[n]) for n in same) + 0.1 * (a.name != b.name)
+
+    for _ in range(150):
+        a, b = D.tree(some()), D.tree(some())
+        assert np.isclose(D.Distance(set()).pair(a, b), brute(a, b))
+
+
+def test_nested_files_unify(spark):
+    one = [{"id": k, "q": {"bid": 10.0 + k, "ask": 1e5 + k}} for k in range(6)]
+    two = [{"id": k, "quote": {"bid": 10.2 + k, "offer": 1e5 + k}} for k in range(6)]
+    raw = files(spark, {"f": [one, two]})
+    sig = D.signatures(raw)
+    changes = D.scripts(sig)
+    assert {tuple(r)[4:] for r in changes.collect()} == {("renamed", "q", "quote"), ("renamed", "q.ask", "quote.offer"), ("carried", "q.bid", "quote.bid")}
+    classes = D.alias_classes(sig, changes)["p"]
+    got = D.unified(raw, "p", classes, {"q.bid": "double", "q.ask": "double"}, ["file_no"]).collect()
+    assert len(got) == 12 and all(r["q.bid"] is not None and r["q.ask"] > 9e4 for r in got)
+
+
 def files(spark, feeds):
     rows, fid = [], 0
     for feed, contents in feeds.items():
