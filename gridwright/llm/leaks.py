@@ -38,8 +38,10 @@ class Rule:
 
 
 WORDS, SIGNS = Rule(13, 5), Rule(20, 8)
-#: The item side is broadcast up to this many shingles (8 bytes each); beyond it the shingles are joined by a shuffle.
-BROADCAST_SHINGLES = 2_000_000
+#: The items' shingles are broadcast as a bitmap of at most this many bits (16 MB), whatever their number; it only lets too much pass, never too little.
+MOST_BITS = 1 << 27
+#: Over so many keys the places of one shingle and the pairs of one item are spread.
+SALTS = 16
 
 
 def normal(text: str) -> str:
@@ -126,10 +128,30 @@ def _streams(text: str) -> Iterator[tuple[bool, list[str] | str, np.ndarray]]:
 HIT = "doc {kind}, seg int, dense boolean, size int, start int, window array<string>, places array<int>, found array<bigint>"
 
 
-def hits(docs: DataFrame, doc_id: str, text: str, wanted: np.ndarray | None) -> DataFrame:
-    """Where documents hold wanted shingles (all shingles if None): runs of hits closer than a window, with the tokens around them."""
+def bitmap(shingled: DataFrame, n: int) -> np.ndarray:
+    """The shingles as bits of a power of two in number, 64 a shingle if that many may be; put together before it is collected."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (64 * n - 1).bit_length()))
+    at = F.col("shingle").bitwiseAND(F.lit(bits - 1))
+    made = shingled.select(F.shiftright(at, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(bits >> 5, np.uint32)
+    out[made["word"].to_numpy(np.int64)] = made["bit"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_runs(sh: np.ndarray, bits: np.ndarray, least: int) -> np.ndarray:
+    """Places of the shingles that may be wanted, in runs of at least ``least`` of them: a window of tokens is such a run."""
+    at = sh.view(np.uint64) & np.uint64(len(bits) * 32 - 1)
+    there = (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], there.astype(np.int8), [0]])))
+    begin, end = edges[::2], edges[1::2]
+    long = end - begin >= least
+    return np.concatenate([np.arange(a, b) for a, b in zip(begin[long], end[long], strict=True)]) if long.any() else np.zeros(0, np.int64)
+
+
+def hits(docs: DataFrame, doc_id: str, text: str, bits: np.ndarray) -> DataFrame:
+    """Where documents hold runs of wanted shingles, with the tokens around them."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = held.value
@@ -141,11 +163,7 @@ def hits(docs: DataFrame, doc_id: str, text: str, wanted: np.ndarray | None) ->
                     if len(codes) < rule.least:
                         continue
                     sh = shingles(codes, rule.width)
-                    if want is None:
-                        at = np.arange(len(sh))
-                    else:
-                        where = np.minimum(np.searchsorted(want, sh), len(want) - 1)
-                        at = np.flatnonzero(want[where] == sh)
+                    at = in_runs(sh, want, rule.least - rule.width + 1)
                     if not len(at):
                         continue
                     for group in np.split(at, np.flatnonzero(np.diff(at) > rule.least) + 1):
@@ -166,19 +184,12 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     """
     it = staged(item_tokens(items, item_id, passage, lang, dense), "items")
     flat = it.select("item", "dense", F.size("tokens").alias("n"), F.posexplode("shingles").alias("q", "shingle"))
-    distinct = flat.select("shingle").distinct()
     bound = it.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    if bound <= BROADCAST_SHINGLES:
-        # 8 bytes a shingle, so at most 16 MB
-        wanted = np.sort(np.array([r[0] for r in distinct.toLocalIterator()], np.int64))
-        if not len(wanted):
-            wanted = np.zeros(1, np.int64)
-        raw = staged(hits(docs, doc_id, text, wanted), "hits")
-        found = raw.select("doc", "seg", "start", "size", F.explode(F.arrays_zip("places", "found")).alias("h")).select("doc", "seg", "start", "size", F.col("h.places").alias("p"), F.col("h.found").alias("shingle"))
-    else:
-        raw = staged(hits(docs, doc_id, text, None), "hits")
-        found = raw.select("doc", "seg", "start", "size", F.explode(F.arrays_zip("places", "found")).alias("h")).select("doc", "seg", "start", "size", F.col("h.places").alias("p"), F.col("h.found").alias("shingle")).join(distinct, "shingle", "left_semi")
-    # rarity: in how many documents each item shingle occurs, over the whole corpus
+    raw = staged(hits(docs, doc_id, text, bitmap(flat, bound)), "hits")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("_salt")
+    salted = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = raw.select("doc", "seg", "start", "size", salt, F.explode(F.arrays_zip("places", "found")).alias("h")).select("doc", "seg", "start", "size", "_salt", F.col("h.places").alias("p"), F.col("h.found").alias("shingle"))
+    # rarity: in how many documents each item shingle occurs in a run that may be a window, over the whole corpus
     rarity = found.select("shingle", "doc").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     ranked = flat.join(rarity, "shingle", "left").withColumn("_rank", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("shingle"), F.col("q")))
     reach = lambda r: r.least - r.width
@@ -187,10 +198,10 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     least = F.when(F.col("dense"), SIGNS.least).otherwise(WORDS.least)
     prefix = ranked.withColumn("_pick", picked).where(F.col("q") + least <= F.col("n")).select("item", "dense", "n", F.col("_pick.shingle").alias("shingle"), F.col("_pick.q").alias("q"), F.col("_pick.df").alias("df")).where(F.col("df") > 0).distinct()
     # length and position bounds: a window around the shared shingle must fit into both; ``p`` counts from the window's start
-    met = found.join(prefix, "shingle").withColumn("_at", F.col("p") + F.col("start"))
+    met = found.join(salted(prefix), ["shingle", "_salt"]).withColumn("_at", F.col("p") + F.col("start"))
     room = F.least("_at", "q") + F.least(F.col("size") - F.col("_at"), F.col("n") - F.col("q"))
-    met = met.where(room >= least).select("doc", "seg", "start", "item", "dense", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    pairs = met.join(raw.select("doc", "seg", "start", "dense", "window"), ["doc", "seg", "start", "dense"]).join(it.select("item", "tokens"), "item")
+    met = met.where(room >= least).select("doc", "seg", "start", "_salt", "item", "dense", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    pairs = met.join(raw.select("doc", "seg", "start", "dense", "window"), ["doc", "seg", "start", "dense"]).join(salted(it.select("item", "tokens")), ["item", "_salt"])
     # exact: the longest run of equal tokens with the passage laid at this shift
     n = F.greatest(F.lit(0), F.least(F.size("tokens"), F.size("window") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift")))
     first = F.greatest(F.lit(0), -F.col("shift"))

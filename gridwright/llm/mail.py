@@ -35,42 +35,44 @@ def _head(text: str, start: int, end: int) -> tuple[dict[str, str], int]:
     return {f[1].lower(): f[2] for f in _FIELD.finditer(text, start, stop)}, body
 
 
-def parts(text: str, start: int = 0, end: int | None = None, depth: int = 0) -> list[Part]:
-    """The leaves in order. A missing end boundary ends a part with its mail; text outside the parts belongs to none."""
-    end = len(text) if end is None else end
-    head, body = _head(text, start, end)
-    kind = head.get("content-type", "text/plain")
-    name = kind.split(";")[0].strip().lower() or "text/plain"
-    if name.startswith("multipart/") and depth < 20 and (m := _BOUNDARY.search(kind)):
-        mark = "--" + (m[1] if m[1] is not None else m[2])
-        cuts, at = [], body
-        while (at := text.find(mark, at, end)) >= 0:
-            line_end = text.find("\n", at, end)
-            line_end = end if line_end < 0 else line_end
-            rest = text[at + len(mark) : line_end].strip()
-            if (at == body or text[at - 1] == "\n") and rest in ("", "--"):
-                cuts.append((at, min(line_end + 1, end), rest))
-                if rest == "--":
-                    break
-            at = line_end
-        out: list[Part] = []
-        for i, (_, begin, rest) in enumerate(cuts):
-            if rest != "--":
-                stop = cuts[i + 1][0] if i + 1 < len(cuts) else end
-                out += parts(text, begin, stop, depth + 1)
-        return out
-    charset = m[1].lower() if (m := _CHARSET.search(kind)) else "utf-8"
-    return [Part(name, head.get("content-transfer-encoding", "").strip().lower(), charset, body, end)]
+def parts(text: str, start: int = 0, end: int | None = None) -> list[Part]:
+    """The leaves in order, however deep. A missing end boundary ends a part with its mail; text outside the parts belongs to none."""
+    out: list[Part] = []
+    todo = [(start, len(text) if end is None else end)]
+    while todo:
+        start, end = todo.pop()
+        head, body = _head(text, start, end)
+        kind = head.get("content-type", "text/plain")
+        name = kind.split(";")[0].strip().lower() or "text/plain"
+        if name.startswith("multipart/") and (m := _BOUNDARY.search(kind)):
+            mark = "--" + (m[1] if m[1] is not None else m[2])
+            cuts, at = [], body
+            while (at := text.find(mark, at, end)) >= 0:
+                line_end = text.find("\n", at, end)
+                line_end = end if line_end < 0 else line_end
+                rest = text[at + len(mark) : line_end].strip()
+                if (at == body or text[at - 1] == "\n") and rest in ("", "--"):
+                    cuts.append((at, min(line_end + 1, end), rest))
+                    if rest == "--":
+                        break
+                at = line_end
+            stops = [c[0] for c in cuts[1:]] + [end]
+            todo += reversed([(begin, stop) for (_, begin, rest), stop in zip(cuts, stops, strict=False) if rest != "--"])
+            continue
+        charset = m[1].lower() if (m := _CHARSET.search(kind)) else "utf-8"
+        out.append(Part(name, head.get("content-transfer-encoding", "").strip().lower(), charset, body, end))
+    return out
 
 
 def decoded(text: str, part: Part) -> str:
-    """A part's body with its transfer encoding undone; '' for what isn't text."""
+    """A part's body with its transfer encoding undone; '' for bytes that are no text.
+
+    Bytes of parts that don't call themselves text are text if they decode without error and hold no NUL.
+    """
     body = text[part.start : part.end]
     if part.encoding == "quoted-printable":
         raw = quopri.decodestring(body.encode("utf-8", "surrogatepass"))
     elif part.encoding == "base64":
-        if not part.kind.startswith("text/") and part.kind not in ("application/json", "application/xml"):
-            return ""
         clean = re.sub(r"[^A-Za-z0-9+/]", "", body)
         try:
             raw = binascii.a2b_base64(clean[: len(clean) - (len(clean) % 4 == 1)] + "=" * (-len(clean) % 4))
@@ -78,10 +80,14 @@ def decoded(text: str, part: Part) -> str:
             return ""
     else:
         return body
+    called = part.kind.startswith("text/") or part.kind in ("application/json", "application/xml")
     try:
-        return raw.decode(part.charset, "replace")
+        out = raw.decode(part.charset, "replace" if called else "strict")
     except LookupError:
-        return raw.decode("utf-8", "replace")
+        out = raw.decode("utf-8", "replace")
+    except UnicodeDecodeError:
+        return ""
+    return out if called or "\0" not in out else ""
 
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head)\b[^>]*>.*?</\1\s*>", re.I | re.S)

@@ -1,6 +1,8 @@
 import base64
 import random
 
+import numpy as np
+
 from gridwright.llm import leaks as L
 from gridwright.llm.mail import texts
 
@@ -56,15 +58,37 @@ def cases():
     return docs, items
 
 
-def test_against_brute_force_both_ways(spark, monkeypatch):
+def test_against_brute_force_with_a_good_and_a_useless_bitmap(spark, monkeypatch):
     docs, items = cases()
     want = brute(docs, items)
     assert (301, 50) in want and (300, 50) not in want and len(want) > 20
     assert run(spark, docs, items) == want
-    monkeypatch.setattr(L, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(L, "MOST_BITS", 1 << 16)
+    monkeypatch.setattr(L, "bitmap", lambda flat, n: np.full(4, 0xFFFFFFFF, np.uint32))  # one that lets everything pass
     assert run(spark, docs, items) == want
 
 
 def test_empty(spark):
     docs, items = cases()
     assert run(spark, docs[:3], []) == set() and run(spark, [], items) == set()
+
+
+def test_runs():
+    sh = np.arange(40, dtype=np.int64) * 7 - 60
+    want = {*sh[3:12].tolist(), *sh[20:24].tolist(), *sh[30:39].tolist()}
+    bits = np.zeros(1 << 11, np.uint32)
+    for x in want:
+        bits[(x & 0xFFFF) >> 5] |= np.uint32(1 << (x & 31))
+    assert L.in_runs(sh, bits, 9).tolist() == [*range(3, 12), *range(30, 39)] and not len(L.in_runs(sh[:0], bits, 9))
+
+
+def test_bitmap(spark):
+    df = spark.createDataFrame([(x,) for x in (-1, 5, -(1 << 62), 5, 31, 32, 63)], "shingle long")
+    got = L.bitmap(df, 7)
+    assert {w * 32 + b for w in np.flatnonzero(got) for b in range(32) if got[w] >> b & 1} == {x & 0xFFFF for x in (-1, 5, -(1 << 62), 31, 32, 63)}
+
+
+def test_attachments_that_do_not_call_themselves_text(spark):
+    passage = " ".join(VOCAB[k % 12] + str(k) for k in range(30))
+    body = "Content-Type: multipart/mixed; boundary=b\n\n--b\n\nhello\n--b\nContent-Type: application/octet-stream\nContent-Transfer-Encoding: base64\n\n" + base64.encodebytes(passage.encode()).decode() + "\n--b--\n"
+    assert run(spark, [(1, body), (2, body.replace("base64", "x-none"))], [(7, passage, "en")]) == {(1, 7)}

@@ -48,6 +48,10 @@ def test_broken_mails():
         M.parts(text), list(M.texts(text)), M.prose(text)
     deep = "".join(f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n" for i in range(60))
     assert isinstance(M.parts(deep), list)
+    deep += "\nOwn words at the bottom.\n" + "".join(f"--b{i}--\n" for i in reversed(range(60)))
+    assert [t.strip() for t in map(lambda p: M.decoded(deep, p), M.parts(deep))] == ["Own words at the bottom."] and [[deep[a:b] for a, b in p] for p in M.prose(deep)] == [["Own words at the bottom."]]
+    very = "".join(f"Content-Type: multipart/mixed; boundary=c{i}x\n\n--c{i}x\n" for i in range(3000)) + "\nstill read"
+    assert M.decoded(very, M.parts(very)[0]).strip() == "still read"
 
 
 def test_prose_zones():
