@@ -54,7 +54,9 @@ def encode(versions: DataFrame, every: int = 16) -> Store:
     order = Window.partitionBy("entity").orderBy("at")
     dates = versions.select("entity", "at").withColumns({"ord": F.row_number().over(order) - 1, "next_at": F.lead("at").over(order)})
     dates = dates.withColumn("stretch", F.floor(F.col("ord") / every).cast("int"))
-    handover = dates.withColumn("next_stretch_at", F.min(F.when(F.col("ord") % every == 0, F.col("at"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    # the next checkpoint's date, from the checkpoints alone
+    heads = dates.where(F.col("ord") % every == 0).select("entity", "stretch", F.lead("at").over(order).alias("next_stretch_at"))
+    handover = dates.join(heads, ["entity", "stretch"])
     full = versions.join(handover, ["entity", "at"])
     checkpoints = full.where(F.col("ord") % every == 0).select("entity", "stretch", "at", "next_stretch_at", "attributes")
     earlier = full.select("entity", (F.col("ord") + 1).alias("ord"), F.col("attributes").alias("_old"))
