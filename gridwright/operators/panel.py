@@ -30,9 +30,8 @@ def densify(cells: DataFrame) -> DataFrame:
     """Every day of any cell for every symbol: the days, as one array, go to each symbol's row and come out again."""
     series = [c for c in cells.columns if c not in AXES]
     days = cells.agg(F.array_sort(F.collect_set("day")).alias("_days"))  # the calendar: bounded by days, not by rows
-    symbols = cells.select("symbol").distinct()
-    order = symbols.agg(F.array_sort(F.collect_list("symbol")).alias("_all"))
-    grid = symbols.select("symbol", F.explode(days.scalar()).alias("day")).withColumn("ord", F.array_position(order.scalar(), F.col("symbol")).cast("int") - 1)
+    symbols = cells.select("symbol").distinct().withColumn("ord", F.row_number().over(Window.orderBy("symbol")) - 1)  # a row per symbol
+    grid = symbols.select("symbol", "ord", F.explode(days.scalar()).alias("day"))
     return grid.join(cells.select("day", "symbol", *[col(s) for s in series]), ["day", "symbol"], "left").select(*AXES, *[col(s) for s in series])
 
 

@@ -10,22 +10,23 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def per_symbol(df: DataFrame, inputs: list[str], kernel: Callable[..., np.ndarray], name: str) -> DataFrame:
-    """``df`` with column ``name``: kernel(*input arrays in day order), missing as NaN inside and NULL outside."""
-    key = df.select("day", "symbol", *inputs)
+    """``df`` with column ``name``: kernel(*input arrays in day order), missing as NaN inside and NULL outside.
+
+    The rows pass through their symbol's group whole, so ``df`` is computed once and nothing is joined back.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("day").to_numpy(zero_copy_only=False), kind="stable")
         cols = [t.column(c).to_numpy(zero_copy_only=False).astype(float)[order] for c in inputs]
         out = np.empty(len(order))
         out[order] = kernel(*cols)
-        return pa.table({"day": t.column("day"), "symbol": t.column("symbol"), name: pa.array(out, mask=np.isnan(out))})
+        return t.append_column(name, pa.array(out, pa.float64(), mask=np.isnan(out)))
 
-    made = key.groupBy("symbol").applyInArrow(run, f"day date, symbol string, `{name}` double")
-    return df.join(made, ["day", "symbol"], "left")
+    return df.groupBy("symbol").applyInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
 
 
 def listing(x: np.ndarray) -> int | None:

@@ -111,9 +111,9 @@ OPS: dict[str, tuple[str, str, str]] = {
     "op15_ceil": ("ceil(close)", "day", simple("ceil(close)")),
     "op16_mask": ("mask(close, volume > 30)", "day", simple("CASE WHEN volume > 30 THEN close END")),
     "op17_sma": ("sma(close, 20)", "day", simple(mean(20))),
-    "op18_ema": (f"ema(close, {N})", "month", joined("e", "e.v", ema("b", "close", N, "e"))),
+    "op18_ema": (f"ema(close, {N})", "day", joined("e", "e.v", ema("b", "close", N, "e"))),
     "op19_std": (f"std(close, {N})", "day", simple(full("stddev_pop", N))),
-    "op20_rsi": (f"rsi(close, {N})", "month", joined("rs", "rs.v", _RSI)),
+    "op20_rsi": (f"rsi(close, {N})", "day", joined("rs", "rs.v", _RSI)),
     "op21_pct_change": ("pct_change(close, 3)", "day", simple(f"(close - {lag(n=3)}) / {lag(n=3)}")),
     "op22_rise": ("rise(close, 2)", "day", simple(unit(f"close > {lag(n=2)}"))),
     "op23_fall": ("fall(close, 2)", "day", simple(unit(f"close < {lag(n=2)}"))),
@@ -123,24 +123,24 @@ OPS: dict[str, tuple[str, str, str]] = {
     "op27_bollinger_mid": (f"bollinger_mid(close, {N})", "day", simple(mean(N))),
     "op28_bollinger_upper": (f"bollinger_upper(close, {N})", "day", simple(f"{mean(N)} + 2 * {full('stddev_pop', N)}")),
     "op29_bollinger_lower": (f"bollinger_lower(close, {N}, k=1.5)", "day", simple(f"{mean(N)} - 1.5 * {full('stddev_pop', N)}")),
-    "op30_macd": ("macd(close, 4, 8)", "month", joined("ml", "ml.m", _MACD)),
-    "op31_macd_signal": ("macd_signal(close, 4, 8, 3)", "month", joined("sg", "sg.v", _MACD)),
-    "op32_macd_hist": ("macd_hist(close, 4, 8, 3)", "month", joined("sg", "ml.m - sg.v", _MACD) + " LEFT JOIN ml USING (symbol, rn)"),
+    "op30_macd": ("macd(close, 4, 8)", "day", joined("ml", "ml.m", _MACD)),
+    "op31_macd_signal": ("macd_signal(close, 4, 8, 3)", "day", joined("sg", "sg.v", _MACD)),
+    "op32_macd_hist": ("macd_hist(close, 4, 8, 3)", "day", joined("sg", "ml.m - sg.v", _MACD) + " LEFT JOIN ml USING (symbol, rn)"),
     "op33_donchian_high": (f"donchian_high(close, {N})", "day", simple(full("max", N))),
     "op34_donchian_low": (f"donchian_low(close, {N})", "day", simple(full("min", N))),
     "op35_donchian_mid": (f"donchian_mid(close, {N})", "day", simple(f"({full('max', N)} + {full('min', N)}) * 0.5")),
-    "op36_atr": (f"atr(high, low, close, {N})", "month", joined("wa", "wa.v", FIRST + RANGE + wilder("u", "tr", "born", N, "wa"))),
-    "op37_natr": (f"natr(high, low, close, {N})", "month", joined("wa", "100 * wa.v / nullif(b.close, 0)", FIRST + RANGE + wilder("u", "tr", "born", N, "wa"))),
+    "op36_atr": (f"atr(high, low, close, {N})", "day", joined("wa", "wa.v", FIRST + RANGE + wilder("u", "tr", "born", N, "wa"))),
+    "op37_natr": (f"natr(high, low, close, {N})", "day", joined("wa", "100 * wa.v / nullif(b.close, 0)", FIRST + RANGE + wilder("u", "tr", "born", N, "wa"))),
     "op38_willr": (f"willr(high, low, close, {N})", "day", simple(f"-100 * ({full('max', N, 'high')} - close) / nullif({_SPAN}, 0)")),
     "op39_cci": (f"cci(high, low, close, {N})", "day", simple("(tp - m) / (0.015 * nullif(list_sum(list_transform(l, lambda z: abs(z - m))) / 5, 0))", "q", _TP + f", q AS (SELECT *, {full('avg', N, 'tp')} AS m, list(tp) {over(N)} AS l FROM p)")),
     "op40_stoch_k": (f"stoch_k(high, low, close, {N})", "day", simple(_K)),
     "op41_stoch_d": (f"stoch_d(high, low, close, {N}, 3)", "day", simple(full("avg", 3, "k"), "q", f", q AS (SELECT *, {_K} AS k FROM b)")),
-    "op42_aroon_up": (f"aroon_up(high, {N})", "month", simple(f"CASE WHEN count(high) {over(N + 1)} = {N + 1} THEN 100.0 * ({N} - (rn - arg_max(rn, (high, rn)) {over(N + 1)})) / {N} END")),
-    "op43_aroon_down": (f"aroon_down(low, {N})", "month", simple(f"CASE WHEN count(low) {over(N + 1)} = {N + 1} THEN 100.0 * ({N} - (rn - arg_min(rn, (low, -rn)) {over(N + 1)})) / {N} END")),
-    "op44_adx": (f"adx(high, low, close, {N})", "month", joined("wx", "wx.v", _DI + wilder("dx", "d", "dxf", N, "wx"))),
-    "op45_plus_di": (f"plus_di(high, low, close, {N})", "month", joined("di", "di.pdi", _DI)),
-    "op46_minus_di": (f"minus_di(high, low, close, {N})", "month", joined("di", "di.mdi", _DI)),
-    "op47_obv": ("obv(close, volume)", "month", simple(f"CASE WHEN born > 0 AND max(CASE WHEN born > 0 AND step IS NULL THEN 1 ELSE 0 END) OVER ({PART} ROWS UNBOUNDED PRECEDING) = 0 THEN sum(step) OVER ({PART} ROWS UNBOUNDED PRECEDING) END", "o", _OBV)),
+    "op42_aroon_up": (f"aroon_up(high, {N})", "day", simple(f"CASE WHEN count(high) {over(N + 1)} = {N + 1} THEN 100.0 * ({N} - (rn - arg_max(rn, (high, rn)) {over(N + 1)})) / {N} END")),
+    "op43_aroon_down": (f"aroon_down(low, {N})", "day", simple(f"CASE WHEN count(low) {over(N + 1)} = {N + 1} THEN 100.0 * ({N} - (rn - arg_min(rn, (low, -rn)) {over(N + 1)})) / {N} END")),
+    "op44_adx": (f"adx(high, low, close, {N})", "day", joined("wx", "wx.v", _DI + wilder("dx", "d", "dxf", N, "wx"))),
+    "op45_plus_di": (f"plus_di(high, low, close, {N})", "day", joined("di", "di.pdi", _DI)),
+    "op46_minus_di": (f"minus_di(high, low, close, {N})", "day", joined("di", "di.mdi", _DI)),
+    "op47_obv": ("obv(close, volume)", "day", simple(f"CASE WHEN born > 0 AND max(CASE WHEN born > 0 AND step IS NULL THEN 1 ELSE 0 END) OVER ({PART} ROWS UNBOUNDED PRECEDING) = 0 THEN sum(step) OVER ({PART} ROWS UNBOUNDED PRECEDING) END", "o", _OBV)),
     "op48_mfi": (f"mfi(high, low, close, volume, {N})", "day", simple(f"CASE WHEN age >= {N} THEN CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + u / nullif(d, 0)) END END", "q", _MFI)),
     "op49_vwap": (f"vwap(high, low, close, volume, {N})", "day", simple(f"CASE WHEN count(tp * volume) {over(N)} = {N} THEN sum(tp * volume) {over(N)} / nullif(sum(volume) {over(N)}, 0) END", "p", _TP)),
     "op50_is_largest": ("is_largest(close, 3)", "day", simple(unit("close IS NOT NULL AND row_number() OVER (PARTITION BY day ORDER BY close DESC NULLS LAST, ord) <= 3"))),

@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. Only on a local master, where none is needed, a temporary one stands in."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gridwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,15 +45,26 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """The rows of df, written once as a table in the shared folder and read again.
 
     This cuts the lineage, computes df once for several readers, and outlives
-    the loss of executors. The table is removed when the driver ends.
+    the loss of executors. Whoever builds a query runs its stages then and there. A table is removed by ``drop_stages`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _stages:
+        atexit.register(drop_stages, spark)
+    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_stages: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Removes the tables that ``staged`` wrote so far; for long sessions, once the results that read them are written."""
+    while _stages:
+        _remove(spark, _stages.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
