@@ -98,10 +98,10 @@ def main(argv: list[str] | None = None) -> int:
         panel = _panel(spark, args, list(dict.fromkeys(s for v in variants.values() for s in catalog.series_of(v))))
         if args.verb == "grid":
             rows, failed = research.sweep(panel, variants, cfg, sectors)
-            _shown(research.board(rows), args.out)
-            print("\n".join(f"{k}: {e}" for k, e in failed.items()), file=sys.stderr)
+            _shown(research.board(rows, failed=failed), args.out)
         else:
-            for w in research.walk_forward(panel, variants, cfg, args.train, args.test):
+            walk = research.walk_forward(panel, variants, cfg, args.train, args.test)
+            for w in [*walk.windows, walk.figures]:
                 print(json.dumps(w, default=str))
         return 0
     expression = _expression(args.file)
@@ -111,7 +111,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.verb == "lookahead":
         _shown(research.lookahead(panel, expression, cfg), args.out)
     elif args.verb == "factor":
-        _shown(research.factor_report(research.factor_days(evaluate(panel, expression, sectors), panel), args.buckets), args.out)
+        days = research.factor_days(evaluate(panel, expression, sectors), panel)
+        _shown(research.factor_report(days, args.buckets) if args.out else research.factor_figures(days, args.buckets).crossJoin(research.factor_report(days, args.buckets)), args.out)
     else:
         _shown(research.event_study(evaluate(panel, expression, sectors), panel, args.before, args.after), args.out)
     return 0

@@ -457,34 +457,40 @@ class Compiler:
             score = F.coalesce((v - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
         else:
             score = F.lit(0.0)
-        score = g.add(score).c
-        cells = F.struct("ord", F.col("symbol"), _truth(cols[0]).alias("e"), _truth(cols[1]).alias("x"), score.alias("s"))
-        days = g.df.groupBy("day").agg(F.array_sort(F.collect_list(cells)).alias("cells"))
+        enter, leave = _truth(cols[0]), _truth(cols[1])
+        name = g.name()
+        if limit is None:
+            # nothing competes: held from an entry to the next exit
+            held = g.add(F.when(leave, 0.0).when(enter, 1.0)).c
+            g.df = g.df.withColumn(name, F.coalesce(F.last(held, ignorenulls=True).over(upto()), F.lit(0.0)))
+            return Ref(g, name)
+        limit = max(int(limit), 0)
+        # A holding only leaves by its exit, and at most ``limit`` are held: so of a day's entries the best 2 * limit suffice, each with its
+        # next exit. On the first day scores don't count yet, and entries that are exits as well take places, but aren't held. Ties go to the later column.
+        first = g.df.agg(F.min("day").alias("d")).scalar()
+        later = Window.partitionBy("symbol").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        cells = g.df.select(*AXES, F.when(F.col("day") == first, 1.0).otherwise(score).alias("_s"), F.when(F.col("day") == first, enter).otherwise(enter & ~leave).alias("_enter"), F.when(F.col("day") == first, leave).alias("_gone"), F.last(F.when(leave, F.col("day")), ignorenulls=True).over(later).alias("_exit"))
+        place = F.row_number().over(across().orderBy(F.col("_s").desc(), F.col("ord").desc()))
+        best = cells.where("_enter").withColumn("_place", place).where(F.col("_place") <= 2 * limit)
 
         def rotate(frame: pd.DataFrame) -> pd.DataFrame:
-            held, out = None, []
-            for day, row in frame.sort_values("day")[["day", "cells"]].itertuples(index=False):
-                entry, leave, sc = (np.array([c[k] for c in row]) for k in ("e", "x", "s"))
-                most = len(row) if limit is None else int(limit)
-                if held is None:
-                    held, points = np.zeros(len(row), bool), entry.astype(float)
-                    drop = leave | ~entry
-                else:
-                    points = entry * sc + held * 3.0
-                    drop = leave | (~entry & ~held)
-                    points[drop] = -1.0
-                best = np.argsort(points, kind="stable")[::-1][:most]
-                now = np.zeros(len(row), bool)
-                now[best] = True
-                held = now & ~drop
-                out.append((day, [c["symbol"] for c in row], held.astype(float).tolist()))
-            return pd.DataFrame(out, columns=["day", "symbols", "held"])
-
-        # a rotation's state is the whole book: one task holds one panel's days, in order
-        made = days.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(rotate, "day date, symbols array<string>, held array<double>")
-        made = made.select("day", F.explode(F.arrays_zip("symbols", "held")).alias("z")).select("day", F.col("z.symbols").alias("symbol"), F.col("z.held").alias("_held"))
-        name = g.name()
-        g.df = g.df.join(made, ["day", "symbol"], "left").withColumnRenamed("_held", name)
+            held: dict[str, object] = {}
+            out = []
+            for day, own in frame.sort_values(["day", "_place"]).groupby("day", sort=True):
+                held = {s: e for s, e in held.items() if e is None or e > day}
+                for symbol, leaves, gone, place in zip(own["symbol"], own["_exit"], own["_gone"], own["_place"], strict=True):
+                    if len(held) >= limit or (gone is not None and place > limit):
+                        break
+                    if symbol not in held and not gone:
+                        held[symbol] = None if leaves is None or leaves != leaves else leaves
+                        out.append((symbol, day, held[symbol]))
+            return pd.DataFrame(out, columns=["symbol", "first", "until"])
+
+        # a rotation's state is the book: one task goes through the panel's days, 2 * limit rows each
+        made = best.select("day", "symbol", "_place", "_exit", "_gone").withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(rotate, "symbol string, first date, until date")
+        steps = made.select("symbol", F.inline(F.array(F.struct(F.col("first").alias("day"), F.lit(1.0).alias("_step")), F.struct(F.col("until").alias("day"), F.lit(0.0).alias("_step"))))).where(F.col("day").isNotNull())
+        steps = steps.groupBy("day", "symbol").agg(F.max("_step").alias("_step"))
+        g.df = g.df.join(steps, ["day", "symbol"], "left").withColumn(name, F.coalesce(F.last("_step", ignorenulls=True).over(upto()), F.lit(0.0))).drop("_step")
         return Ref(g, name)
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -165,7 +165,7 @@ def run_book(pos: np.ndarray, px: np.ndarray, op: np.ndarray, hi: np.ndarray, lo
         if gain != -1.0:
             drift = drift / (1.0 + gain)
         if confirmed[r].any():
-            # a forced exit: written down, paid out, not traded
+            # what is gone leaves the book at its written-down worth and costs no fee
             loss = float((drift * confirmed[r]).sum() * cfg.delist_haircut)
             drift = np.where(confirmed[r], 0.0, drift)
             value *= 1.0 - loss
@@ -218,7 +218,7 @@ PARTS = ["price", "open", "high", "low", "volume"]
 
 
 def simulate(cells: DataFrame, cfg: Costs, start: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Rows of kind 'equity' (value, exposure), 'trade' (value is the return) and 'weight' (the last book) per variant.
+    """Rows of kind 'equity' (value, exposure), 'trade' (value is the return) and 'weight' (the last book) per variant; of one that fails a row of kind 'error', its message in ``side``.
 
     ``cells`` has variant, day, symbol, ord, position and price, and may have open, high, low and volume. Its groups are
     one variant each. ``start`` gives variants a first book, so that a following segment pays only for what differs.
@@ -228,6 +228,12 @@ def simulate(cells: DataFrame, cfg: Costs, start: dict[str, dict[str, float]] |
     first = start or {}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return booked(frame)
+        except Exception as e:  # noqa: BLE001 - one variant's failure is its own
+            return pd.DataFrame([(frame["variant"].iloc[0], "error", *[None] * 10, f"{type(e).__name__}: {e}")], columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"period": "Int32"})
+
+    def booked(frame: pd.DataFrame) -> pd.DataFrame:
         variant = frame["variant"].iloc[0]
         order = frame[["ord", "symbol"]].drop_duplicates().sort_values(["ord", "symbol"])["symbol"].tolist()
         days = np.sort(frame["day"].unique())
@@ -247,7 +253,16 @@ def simulate(cells: DataFrame, cfg: Costs, start: dict[str, dict[str, float]] |
         made["period"] = made["period"].astype("Int32")
         return made
 
-    return cells.select("variant", "day", "symbol", "ord", *names).groupBy("variant").applyInPandas(run, ROWS)
+    cells = cells.select("variant", "day", "symbol", "ord", *names)
+    # symbols that are never held change nothing; the first one stays, so that every variant has its days
+    whole = F.col("position").isNotNull() & (F.col("position") != 0)
+    ever = cells.groupBy("variant", "symbol").agg(F.max(whole).alias("_on"), F.min("ord").alias("_ord"))
+    if first:
+        carried_on = [F.struct(F.lit(v).alias("variant"), F.lit(s).alias("symbol")) for v, b in first.items() for s, w in b.items() if w]
+        ever = ever.withColumn("_on", F.col("_on") | F.array_contains(F.array(*carried_on), F.struct("variant", "symbol")) if carried_on else F.col("_on"))
+    lead = Window.partitionBy("variant").orderBy("_ord", "symbol")
+    ever = ever.withColumn("_place", F.row_number().over(lead)).where(F.col("_on") | (F.col("_place") == 1)).select("variant", "symbol")
+    return cells.join(ever, ["variant", "symbol"], "left_semi").groupBy("variant").applyInPandas(run, ROWS)
 
 
 def equity_of(rows: DataFrame) -> DataFrame:
@@ -260,3 +275,7 @@ def trade_list(rows: DataFrame) -> DataFrame:
 
 def book_of(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("kind") == "weight").select("variant", "symbol", F.col("value").alias("weight"))
+
+
+def errors_of(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("kind") == "error").select("variant", F.col("side").alias("error"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,9 +49,14 @@ def sweep(panel: DataFrame, variants: dict[str, Node], cfg: nav.Costs, industry:
     return nav.simulate(cells, cfg), failed
 
 
-def board(rows: DataFrame, by: str = "sharpe", top: int | None = None) -> DataFrame:
-    """Variants ranked by a figure, the best first; missing figures last."""
-    out = metrics.summary(nav.equity_of(rows)).orderBy(F.col(by).desc_nulls_last(), "variant")
+def board(rows: DataFrame, by: str = "sharpe", top: int | None = None, failed: dict[str, str] | None = None) -> DataFrame:
+    """Variants ranked by a figure, the best first; missing figures after them, and last the variants that failed (ok false), with their errors."""
+    figures = metrics.summary(nav.equity_of(rows)).withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")})
+    bad = nav.errors_of(rows)
+    if failed:
+        bad = bad.unionByName(rows.sparkSession.createDataFrame(sorted(failed.items()), "variant string, error string"))
+    out = figures.unionByName(bad.withColumn("ok", F.lit(False)), allowMissingColumns=True)
+    out = out.orderBy(F.col("ok").desc(), F.col(by).desc_nulls_last(), "variant")
     return out if top is None else out.limit(top)
 
 
@@ -67,38 +74,64 @@ def lookahead(panel: DataFrame, expression: Node, cfg: nav.Costs, shifts: tuple[
     return metrics.summary(nav.equity_of(nav.simulate(both, cfg))).select("variant", F.col("variant").cast("int").alias("lag"), "total_return", "sharpe")
 
 
-def segments(days: list, train: int, test: int) -> list[tuple]:
-    """(train from, train to, test from, test to) windows; each begins where the one before ended its test."""
+def segments(days: list, train: int, test: int) -> list[tuple[int, int, int]]:
+    """(first of training, first of test, end of test) as places in ``days``; each begins where the one before ended its test, the last may be shorter."""
+    if train < 1 or test < 1:
+        raise ValueError("train and test must be at least one day")
     out, at = [], 0
-    while at + train + test <= len(days):
-        out.append((days[at], days[at + train - 1], days[at + train], days[at + train + test - 1]))
-        at += train + test
+    while at + train < len(days):
+        end = min(at + train + test, len(days))
+        out.append((at, at + train, end))
+        at = end
     return out
 
 
-def walk_forward(panel: DataFrame, variants: dict[str, Node], cfg: nav.Costs, train: int, test: int, by: str = "sharpe") -> list[dict]:
-    """Per window: the variant that did best in training and its result in the following test days.
+@dataclass(frozen=True)
+class Walk:
+    """windows: one row each; curve: (day, equity) of the tests chained; figures: of that curve."""
 
-    The variants of a window run in parallel; windows follow each other, as each test begins with the
-    last one's book. Warm-up rows before a window are the longest lookback. What reaches the driver is a row per window and its book.
+    windows: list[dict]
+    curve: list[tuple]
+    figures: dict
+
+
+def walk_forward(panel: DataFrame, variants: dict[str, Node], cfg: nav.Costs, train: int, test: int, by: str = "sharpe", warmup: int | None = None) -> Walk:
+    """Per window the variant that did best in training, then its result in the following test days, chained over all windows.
+
+    Signals warm up on ``warmup`` rows before (the longest lookback, if None), the book doesn't: training starts from nothing on its first day; a test starts on the
+    last training day, so that its first day earns a return, with the book the last test ended with. Equal figures go to the later variant; variants without a
+    figure are out. The variants of a window run in parallel; windows follow each other. A window's curve and book reach the driver: as many rows as it has days and holdings.
     """
     days = [r[0] for r in panel.select("day").distinct().orderBy("day").collect()]  # a calendar
-    warm = max(max_lookback(v) for v in variants.values())
+    if len(days) < train + 1:
+        raise ValueError(f"{len(days)} days are too few to train on {train}")
+    warm = max(max_lookback(v) for v in variants.values()) if warmup is None else warmup
+    place = F.create_map(*[F.lit(x) for i, v in enumerate(variants) for x in (v, i)])
     book: dict[str, float] | None = None
-    out = []
-    for a, b, c, d in segments(days, train, test):
-        early = days[max(0, days.index(a) - warm)]
-        rows, _ = sweep(panel.where(F.col("day").between(early, b)), variants, cfg)
-        scored = metrics.summary(nav.equity_of(rows).where(F.col("day") >= F.lit(a)))
-        best = scored.orderBy(F.col(by).desc_nulls_last(), "variant").select("variant").first()["variant"]
-        warm_test = days[max(0, days.index(c) - warm)]
-        cells = positions(panel.where(F.col("day").between(warm_test, d)), variants[best], best).where(F.col("day") >= F.lit(c))
-        done = nav.simulate(cells, cfg, None if book is None else {best: book})
-        got = done.where("kind <> 'trade'").collect()
-        curve = sorted((r["day"], r["value"]) for r in got if r["kind"] == "equity")
+    windows, curve, scale = [], [], 1.0
+
+    def run(names: list[str], warm_from: int, first: int, end: int, start: dict | None) -> DataFrame:
+        part = panel.where(F.col("day").between(days[max(0, warm_from - warm)], days[end - 1]))
+        cells = reduce(DataFrame.unionByName, [positions(part, variants[n], n) for n in names])
+        return nav.simulate(cells.where(F.col("day") >= F.lit(days[first])), cfg, start)
+
+    for a, b, end in segments(days, train, test):
+        scored = metrics.summary(nav.equity_of(run(list(variants), a, a, b, None))).where(F.col(by).isNotNull())
+        best = scored.orderBy(F.col(by).desc(), place[F.col("variant")].desc()).select("variant", F.col(by).alias("figure")).first()
+        if best is None:
+            raise ValueError(f"no variant has a figure in training from {days[a]} to {days[b - 1]}")
+        name = best["variant"]
+        got = run([name], b, b - 1, end, None if book is None else {name: book}).where("kind <> 'trade'").collect()
+        if any(r["kind"] == "error" for r in got):
+            raise RuntimeError(next(r["side"] for r in got if r["kind"] == "error"))
+        own = sorted((r["day"], r["value"]) for r in got if r["kind"] == "equity")
         book = {r["symbol"]: r["value"] for r in got if r["kind"] == "weight"}
-        out.append({"train_from": a, "train_to": b, "test_from": c, "test_to": d, "variant": best, "test_return": curve[-1][1] - 1.0})
-    return out
+        windows.append({"train_from": days[a], "train_to": days[b - 1], "test_from": days[b], "test_to": days[end - 1], "variant": name, "in_sample": best["figure"], "test_return": own[-1][1] - 1.0})
+        curve += [(d, scale * e) for d, e in own if d >= days[b]]
+        scale = curve[-1][1]
+    chained = panel.sparkSession.createDataFrame([("walk", d, float(e)) for d, e in curve], "variant string, day date, equity double")
+    figures = metrics.summary(chained).select("total_return", "cagr", "sharpe", "max_drawdown").first().asDict()
+    return Walk(windows, curve, figures)
 
 
 def forward_returns(panel: DataFrame, n: int, price: str = "close") -> DataFrame:
@@ -108,8 +141,10 @@ def forward_returns(panel: DataFrame, n: int, price: str = "close") -> DataFrame
 
 
 def factor_days(factor: DataFrame, panel: DataFrame, n: int = 1) -> DataFrame:
-    """day, symbol, f, fwd, rf, rr, m: cells with both a factor value and a forward return, their average ranks and number per day."""
-    both = align(factor.select(*AXES, F.col("v").alias("f")), forward_returns(panel, n)).where(F.col("f").isNotNull() & F.col("fwd").isNotNull() & (F.abs("fwd") < float("inf")))
+    """day, symbol, ord, f, fwd, rf, rr, m, next_day: cells with both a factor value and a forward return, their average ranks and number per day, and the grid's next day."""
+    both = align(factor.select(*AXES, F.col("v").alias("f")), forward_returns(panel, n))
+    both = both.withColumn("next_day", F.lead("day").over(Window.partitionBy("symbol").orderBy("day")))
+    both = both.where(F.col("fwd").isNotNull() & (F.abs("fwd") < float("inf")) & (F.abs("f") < float("inf")))
     day = Window.partitionBy("day")
     rank = lambda c: F.rank().over(day.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("day", c)) - 1) / 2
     return both.withColumns({"rf": rank("f"), "rr": rank("fwd"), "m": F.count(F.lit(1)).over(day)})
@@ -121,11 +156,32 @@ def information(days: DataFrame) -> DataFrame:
     return days.where("m >= 2").groupBy("day").agg(F.coalesce(ic, F.lit(0.0)).alias("ic"))
 
 
-def factor_report(days: DataFrame, buckets: int = 5) -> DataFrame:
-    """bucket, mean return over all its cells, cells; ties go to the earlier column."""
+def _bucketed(days: DataFrame, buckets: int) -> DataFrame:
+    """The cells of days with two or more, with their bucket by factor, 0 the lowest; ties go to the earlier column. Thin days leave buckets empty."""
     place = F.row_number().over(Window.partitionBy("day").orderBy("f", "ord")) - 1
-    b = days.where(F.col("m") >= buckets).withColumn("bucket", F.floor(place * buckets / F.col("m")).cast("int"))
-    return b.groupBy("bucket").agg(F.avg("fwd").alias("mean_return"), F.count(F.lit(1)).alias("n"))
+    return days.where("m >= 2").withColumn("bucket", F.floor(place * buckets / F.col("m")).cast("int"))
+
+
+def factor_report(days: DataFrame, buckets: int = 5) -> DataFrame:
+    """bucket, mean return over all its cells, cells."""
+    return _bucketed(days, buckets).groupBy("bucket").agg(F.avg("fwd").alias("mean_return"), F.count(F.lit(1)).alias("n"))
+
+
+def factor_figures(days: DataFrame, buckets: int = 5) -> DataFrame:
+    """One row: n_days, mean_ic, ic_deviation (sample), icir, long_short (highest less lowest bucket) and top_turnover.
+
+    Turnover is the mean share of the top bucket that isn't in it on the grid's next day, over days whose top bucket isn't empty and whose
+    next day has two or more cells. Figures without days to take them from are NULL.
+    """
+    ic = information(days).agg(F.count(F.lit(1)).alias("n_days"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_deviation"))
+    cells = _bucketed(days, buckets)
+    ends = cells.agg((F.avg(F.when(F.col("bucket") == buckets - 1, F.col("fwd"))) - F.avg(F.when(F.col("bucket") == 0, F.col("fwd")))).alias("long_short"))
+    top = cells.where(F.col("bucket") == buckets - 1).select("day", "symbol", "next_day")
+    known = days.where("m >= 2").select(F.col("day").alias("next_day")).distinct()
+    after = top.select(F.col("day").alias("next_day"), "symbol", F.lit(1).alias("_stays"))
+    left = top.join(known, "next_day").join(after, ["next_day", "symbol"], "left").groupBy("day").agg(F.avg(F.when(F.col("_stays").isNull(), 1.0).otherwise(0.0)).alias("_left"))
+    out = ic.crossJoin(ends).crossJoin(left.agg(F.avg("_left").alias("top_turnover")))  # three single rows
+    return out.withColumn("icir", F.when(F.col("ic_deviation") > 0, F.col("mean_ic") / F.col("ic_deviation")))
 
 
 def event_study(events: DataFrame, panel: DataFrame, before: int, after: int, price: str = "close") -> DataFrame:
@@ -138,5 +194,5 @@ def event_study(events: DataFrame, panel: DataFrame, before: int, after: int, pr
     rows = panel.select("symbol", "day", F.row_number().over(w).alias("rn"), ratio(p - F.lag(p).over(w), F.lag(p).over(w)).alias("ret"))
     hit = events.where(F.col("v") == 1.0).select("symbol", "day").join(rows.select("symbol", "day", "rn"), ["symbol", "day"])
     near = hit.select("symbol", "rn", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("lag")).select("symbol", "lag", (F.col("rn") + F.col("lag")).alias("rn"))
-    out = near.join(rows, ["symbol", "rn"]).where(F.col("ret").isNotNull()).groupBy("lag").agg(F.avg("ret").alias("mean_return"), F.count(F.lit(1)).alias("event_count"))
+    out = near.join(rows, ["symbol", "rn"]).where(F.abs("ret") < float("inf")).groupBy("lag").agg(F.avg("ret").alias("mean_return"), F.count(F.lit(1)).alias("event_count"))
     return out.withColumn("cumulative", F.sum("mean_return").over(Window.orderBy("lag")))

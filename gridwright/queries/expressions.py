@@ -92,6 +92,15 @@ _SEC = ", s AS (SELECT b.*, coalesce(r_name, '其他') AS sector FROM b LEFT JOI
 _VT = f""", w AS (SELECT *, close / nullif(sum(close) OVER (PARTITION BY day), 0) AS wt FROM b), c AS (SELECT *, coalesce({lag('wt')}, 0) * coalesce(close / nullif({lag()}, 0) - 1, 0) AS part FROM w),
 dy AS (SELECT day, sum(part) AS r FROM c GROUP BY day), sc AS (SELECT day, row_number() OVER (ORDER BY day) AS k, stddev_samp(r) OVER (ORDER BY day ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) * sqrt(252.0) AS vol FROM dy)"""
 
+_RANKED = "len(list_filter(range(1, len(en) + 1), lambda j: pts[j] > pts[i] OR (pts[j] = pts[i] AND j > i))) < 4"
+# a rotation step by step: lists over the symbols of a day
+_HOLD = f""", x AS (SELECT *, coalesce(close > {mean(5)}, false) AS e, coalesce(close < {lag()}, false) AS l, coalesce((volume - min(volume) OVER ()) / nullif(max(volume) OVER () - min(volume) OVER (), 0), 0) AS sc FROM b),
+y AS (SELECT day, row_number() OVER (ORDER BY day) AS r, list(e ORDER BY ord) AS en, list(l ORDER BY ord) AS lv, list(sc ORDER BY ord) AS sc, list(symbol ORDER BY ord) AS sy FROM x GROUP BY day),
+h AS (SELECT r, held FROM (SELECT r, list_transform(range(1, len(en) + 1), lambda i: {_RANKED} AND en[i] AND NOT lv[i]) AS held FROM (SELECT *, list_transform(en, lambda v: CASE WHEN v THEN 1.0 ELSE 0.0 END) AS pts FROM y WHERE r = 1))
+ UNION ALL SELECT r, list_transform(range(1, len(en) + 1), lambda i: {_RANKED} AND pts[i] >= 0) FROM (SELECT *, list_transform(range(1, len(en) + 1), lambda i: CASE WHEN lv[i] OR NOT (en[i] OR was[i]) THEN -1.0 ELSE CASE WHEN en[i] THEN sc[i] ELSE 0 END + CASE WHEN was[i] THEN 3.0 ELSE 0 END END) AS pts FROM (SELECT y.*, h.held AS was FROM h JOIN y ON y.r = h.r + 1)))
+SELECT day, symbol, round(CASE WHEN held THEN 1.0 ELSE 0.0 END + 2e-8, 6) AS v FROM (SELECT day, unnest(sy) AS symbol, unnest(held) AS held FROM y JOIN h USING (r))"""
+
+
 #: name -> (expression, panel, SQL after the panel's CTEs); panels: day and month of brands, nat of nations with regions as sectors
 OPS: dict[str, tuple[str, str, str]] = {
     "op01_data": ("close", "day", simple("close")),
@@ -157,10 +166,11 @@ OPS: dict[str, tuple[str, str, str]] = {
     "op60_is_entry": ("is_entry(close > sma(close, 5))", "day", simple(unit(f"c = 1 AND coalesce({lag('c')}, 0) = 0"), "x", _CROSS)),
     "op61_is_exit": ("is_exit(close > sma(close, 5))", "day", simple(unit(f"c = 0 AND coalesce({lag('c')}, 0) = 1"), "x", _CROSS)),
     "op62_exit_when": ("exit_when(close > sma(close, 5), close < rolling_min(close, 3) * 1.000001)", "day", simple(f"coalesce(last_value(s IGNORE NULLS) OVER ({PART} ROWS UNBOUNDED PRECEDING), 0)", "y", _EXIT)),
-    "op63_hold_until": ("hold_until(close > sma(close, 5), fall(close, 1), 4, volume)", "month", ""),
+    "op63_hold_until": ("hold_until(close > sma(close, 5), fall(close, 1), 4, volume)", "day", _HOLD),
+    "op63_hold_unlimited": ("hold_until(close > sma(close, 5), fall(close, 2))", "day", simple(f"coalesce(last_value(s IGNORE NULLS) OVER ({PART} ROWS UNBOUNDED PRECEDING), 0)", f"(SELECT *, CASE WHEN coalesce(close < {lag(n=2)}, false) THEN 0.0 WHEN coalesce(close > {mean(5)}, false) THEN 1.0 END AS s FROM b)")),
     "op64_rebalance": ('rebalance(close, freq="W")', "day", "\nSELECT day, symbol, round(close + 2e-8, 6) AS v FROM b WHERE day IN (SELECT max(day) FROM b GROUP BY isoyear(day), weekofyear(day))"),
-    "op64_rebalance_on": ("rebalance(close, on=volume > 200)", "day", "\nSELECT day, symbol, round(close + 2e-8, 6) AS v FROM b WHERE day IN (SELECT day FROM b WHERE volume > 200)"),
-    "op65_vol_target": ("vol_target(normalize_row(close), close, 0.1, 6)", "month", _VT + "\nSELECT day, symbol, round(wt * CASE WHEN k > 6 AND vol > 0 THEN least(1, 0.1 / vol) ELSE 1 END + 2e-8, 6) AS v FROM w JOIN sc USING (day)"),
+    "op64_rebalance_on": ("rebalance(close, on=volume > 200)", "day", "\nSELECT day, symbol, round(close + 2e-8, 6) AS v FROM b JOIN (SELECT DISTINCT day FROM b WHERE volume > 200) USING (day)"),
+    "op65_vol_target": ("vol_target(normalize_row(close), close, 0.1, 6)", "day", _VT + "\nSELECT day, symbol, round(wt * CASE WHEN k > 6 AND vol > 0 THEN least(1, 0.1 / vol) ELSE 1 END + 2e-8, 6) AS v FROM w JOIN sc USING (day)"),
     "op66_neutralize": ("neutralize(close, [volume])", "day", simple("CASE WHEN close IS NOT NULL AND volume IS NOT NULL AND cnt >= 2 AND abs(sxx - sx * sx / cnt) > 1e-9 THEN close - ((sy - (sxy - sx * sy / cnt) / (sxx - sx * sx / cnt) * sx) / cnt) - (sxy - sx * sy / cnt) / (sxx - sx * sx / cnt) * volume END", "q", ", q AS (SELECT *, count(close * volume) OVER w AS cnt, sum(CASE WHEN close IS NOT NULL THEN volume END) OVER w AS sx, sum(CASE WHEN volume IS NOT NULL THEN close END) OVER w AS sy, sum(close * volume) OVER w AS sxy, sum(CASE WHEN close IS NOT NULL THEN volume * volume END) OVER w AS sxx FROM b WINDOW w AS (PARTITION BY day))")),
     "op67_neutralize_industry": ("neutralize_industry(close)", "nat", simple("CASE WHEN close IS NOT NULL AND count(close) OVER (PARTITION BY day) >= 2 AND len(list_distinct(list(CASE WHEN close IS NOT NULL THEN sector END) OVER (PARTITION BY day))) >= 2 THEN close - avg(close) OVER (PARTITION BY day, sector) END", "s", _SEC)),
     "op68_industry_rank": ('industry_rank(close, categories=["ASIA", "EUROPE"])', "nat", simple(f"{ranked('z', within='day, sector')} / nullif(count(z) OVER (PARTITION BY day, sector), 0)", "(SELECT *, CASE WHEN sector IN ('ASIA', 'EUROPE') THEN close END AS z FROM s)", _SEC)),

@@ -122,6 +122,16 @@ SELECT 'pe', symbol, '', cast(strftime(m, '%Y%m') AS int) FROM h ANTI JOIN (SELE
 """
 
 
+P4_GRID_SQL = P4_CELLS_SQL + """,
+u AS (SELECT symbol, exchange, day, 1 AS g, v FROM g LEFT JOIN c USING (symbol, exchange, day) UNION ALL SELECT symbol, exchange, day, 0, v FROM c ANTI JOIN g USING (symbol, exchange, day)
+ UNION ALL SELECT symbol, NULL, cast(m AS date), 1, v FROM h LEFT JOIN (SELECT symbol, cast(m AS timestamp) AS m, v FROM e) USING (symbol, m)),
+n AS (SELECT *, sum(g) OVER (PARTITION BY symbol, exchange ORDER BY day ROWS UNBOUNDED PRECEDING) AS no FROM u),
+z AS (SELECT *, no - last_value(CASE WHEN v IS NOT NULL THEN no END IGNORE NULLS) OVER w AS age, last_value(v IGNORE NULLS) OVER w AS lv, CASE WHEN exchange IS NULL THEN 3 ELSE 5 END AS gap FROM n WINDOW w AS (PARTITION BY symbol, exchange ORDER BY day ROWS UNBOUNDED PRECEDING))
+SELECT CASE WHEN exchange IS NULL THEN 'pe' ELSE 'adj_close' END AS metric, symbol, coalesce(exchange, '') AS exchange, cast(CASE WHEN exchange IS NULL THEN strftime(day, '%Y%m') ELSE strftime(day, '%Y%m%d') END AS int) AS period,
+ CASE WHEN age <= gap THEN lv END AS value, CASE WHEN v IS NOT NULL THEN 'observed' WHEN age <= gap THEN 'carried' ELSE 'missing' END AS status FROM z WHERE g = 1
+"""
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -317,4 +327,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"p3_found": P3_SQL, "p3_profile": P3_PROFILE_SQL, "p5_rules": P5_RULES_SQL, "p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_averages": P6_ALL_SQL}
+    return {"p3_found": P3_SQL, "p3_profile": P3_PROFILE_SQL, "p5_rules": P5_RULES_SQL, "p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p4_grid": P4_GRID_SQL, "p6_found": P6_SQL, "p6_averages": P6_ALL_SQL}

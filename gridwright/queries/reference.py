@@ -37,13 +37,13 @@ def rounded(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def join_align(spark: SparkSession, d: str) -> DataFrame:
-    """Brands of even number by month against all by day: days united, symbols intersected."""
-    a = brands(spark, d, "month").where("ord % 2 = 0").select("day", "symbol", "ord", F.col("close").alias("month_close"))
+    """Brands by month against brands by day: days united, symbols intersected."""
+    a = brands(spark, d, "month").select("day", "symbol", "ord", F.col("close").alias("month_close"))
     return rounded(align(a, brands(spark, d).select("day", "symbol", "ord", "close")), ["day", "symbol", "month_close", "close"])
 
 
 JOIN_ALIGN = f"""WITH {panel_sql(grain='month').replace('r0', 'm0').replace('b AS', 'm AS', 1)}, {panel_sql()},
-dd AS (SELECT day FROM m UNION SELECT day FROM b), ss AS (SELECT DISTINCT symbol FROM m WHERE ord % 2 = 0)
+dd AS (SELECT day FROM m UNION SELECT day FROM b), ss AS (SELECT DISTINCT symbol FROM m)
 SELECT cast(strftime(dd.day, '%Y%m%d') AS int) AS day, ss.symbol, round(m.close + {OFF}, 6) AS month_close, round(b.close + {OFF}, 6) AS close
 FROM dd CROSS JOIN ss LEFT JOIN m ON m.day = dd.day AND m.symbol = ss.symbol LEFT JOIN b ON b.day = dd.day AND b.symbol = ss.symbol"""
 
@@ -81,18 +81,46 @@ FROM b LEFT JOIN m ON m.day = b.day AND m.symbol = b.symbol"""
 
 
 def _cells(spark: SparkSession, d: str, text: str = SMA) -> DataFrame:
-    return research.positions(brands(spark, d, "month"), parse(text), "v")
+    return research.positions(brands(spark, d), parse(text), "v")
 
 
 def nav_buy_hold(spark: SparkSession, d: str) -> DataFrame:
-    """Equal weights bought on the first day and left to drift, free of cost."""
-    cells = brands(spark, d, "month").select("day", "symbol", "ord", F.col("close").alias("price"), F.lit(1.0).alias("position"), F.lit("v").alias("variant"))
-    return rounded(nav.equity_of(nav.simulate(cells, nav.Costs())), ["day", "equity", "exposure"])
+    """Equal weights bought on the first day and left to drift, free of cost; the equity's leading digits."""
+    cells = brands(spark, d).select("day", "symbol", "ord", F.col("close").alias("price"), F.lit(1.0).alias("position"), F.lit("v").alias("variant"))
+    return nav.equity_of(nav.simulate(cells, nav.Costs())).select(packed("day").alias("day"), F.round(F.col("equity") / F.pow(F.lit(10.0), F.floor(F.log10("equity"))) + OFF, 6).alias("equity"), R("exposure").alias("exposure"))
 
 
-NAV_BUY_HOLD = f"""WITH {panel_sql(grain='month')}, g AS (SELECT day, symbol, coalesce(close / nullif({lag()}, 0), 1) AS f FROM b),
+NAV_BUY_HOLD = f"""WITH {panel_sql()}, g AS (SELECT day, symbol, coalesce(close / nullif({lag()}, 0), 1) AS f FROM b),
 c AS (SELECT day, symbol, exp(sum(ln(f)) OVER ({PART} ROWS UNBOUNDED PRECEDING)) AS v FROM g)
-SELECT {D}, round(avg(v) + {OFF}, 6) AS equity, round(1.0 + {OFF}, 6) AS exposure FROM c GROUP BY day"""
+SELECT {D}, round(avg(v) / pow(10.0, floor(log10(avg(v)))) + {OFF}, 6) AS equity, round(1.0 + {OFF}, 6) AS exposure FROM c GROUP BY day"""
+
+
+def nav_sql(cells: str, fee: float = 0.0, tax: float = 0.0, limit: float = 1.0) -> str:
+    """CTEs after ``s`` (variant, seg, day, symbol, ord, raw, close), which ``cells`` holds: n (variant, seg, r, day, equity), simulated day by day over lists.
+
+    A segment starts from the book of the one before.
+    """
+    cost = lambda old: f"{fee} * list_sum(list_transform(list_zip(target, {old}), lambda z: abs(z[1] - z[2]))) + {tax} * list_sum(list_transform(list_zip(target, {old}), lambda z: greatest(z[2] - z[1], 0)))"
+    return f"""{cells},
+c AS (SELECT variant, seg, day, ord, raw, coalesce(close / nullif(lag(close) OVER (PARTITION BY variant, seg, symbol ORDER BY day), 0) - 1, 0) AS ret FROM s),
+l AS (SELECT variant, seg, day, row_number() OVER (PARTITION BY variant ORDER BY seg, day) AS r, list(raw ORDER BY ord) AS raw, list(ret ORDER BY ord) AS ret FROM c GROUP BY variant, seg, day),
+t AS (SELECT *, list_transform(raw, lambda x: least(x / greatest(list_sum(list_transform(raw, lambda y: abs(y))), 1), {limit})) AS target, raw IS DISTINCT FROM lag(raw) OVER (PARTITION BY variant ORDER BY r) AS change, lag(seg) OVER (PARTITION BY variant ORDER BY r) IS DISTINCT FROM seg AS fresh FROM l),
+n AS (SELECT variant, seg, r, day, 1 - ({cost("list_transform(target, lambda x: 0.0)")}) AS equity, target AS held FROM t WHERE r = 1
+ UNION ALL SELECT variant, seg, r, day, CASE WHEN fresh THEN 1 - ({cost("h")}) WHEN change THEN e1 * (1 - ({cost("drift")})) ELSE e1 END, CASE WHEN fresh OR change THEN target ELSE drift END
+ FROM (SELECT *, list_transform(list_zip(h, ret), lambda z: z[1] * (1 + z[2]) / (1 + g)) AS drift, e0 * (1 + g) AS e1 FROM (SELECT t.*, n.equity AS e0, n.held AS h, list_dot_product(n.held, t.ret) AS g FROM n JOIN t ON t.variant = n.variant AND t.r = n.r + 1)))"""
+
+
+FIGURES = f"""f AS (SELECT variant, any_value(z) / any_value(a) - 1 AS total_return, avg(ret) / greatest(stddev_samp(ret), 1e-6) * sqrt(252) AS sharpe, min(dd) AS max_drawdown
+ FROM (SELECT variant, equity / lag(equity) OVER w - 1 AS ret, equity / max(equity) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS dd, first_value(equity) OVER w AS a, last_value(equity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM n WINDOW w AS (PARTITION BY variant ORDER BY day)) GROUP BY variant)"""
+
+
+def nav_costs(spark: SparkSession, d: str) -> DataFrame:
+    """A trend rule with fees and taxes."""
+    return rounded(nav.equity_of(nav.simulate(_cells(spark, d), nav.Costs(fee=0.001, tax=0.002))), ["day", "equity", "exposure"])
+
+
+NAV_COSTS = f"""WITH RECURSIVE {nav_sql(f"{panel_sql()}, s AS (SELECT 'v' AS variant, 0 AS seg, day, symbol, ord, {unit(f'close > {mean(5)}')} AS raw, close FROM b)", 0.001, 0.002)}
+SELECT {D.replace('day,', 'n.day,')}, round(n.equity + {OFF}, 6) AS equity, round(list_sum(t.target) + {OFF}, 6) AS exposure FROM n JOIN t USING (variant, r)"""
 
 
 def nav_strategy(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +134,7 @@ def nav_trades(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t, ["symbol", "entry_day", "exit_day", "ret", "period", "worst", "best", "side"])
 
 
-NAV_TRADES = f"""WITH {panel_sql(grain='month')}, h0 AS (SELECT *, coalesce(close > {mean(5)}, false) AS held FROM b), h AS (SELECT *, coalesce({lag('held')}, false) AS was FROM h0),
+NAV_TRADES = f"""WITH {panel_sql()}, h0 AS (SELECT *, coalesce(close > {mean(5)}, false) AS held FROM b), h AS (SELECT *, coalesce({lag('held')}, false) AS was FROM h0),
 g AS (SELECT *, sum(CASE WHEN held AND NOT was THEN 1 ELSE 0 END) OVER ({PART}) AS run, lead(day) OVER ({PART}) AS nday, lead(close) OVER ({PART}) AS nclose, lead(high) OVER ({PART}) AS nhigh, lead(low) OVER ({PART}) AS nlow FROM h),
 i AS (SELECT symbol, run, min(day) AS a, arg_min(close, day) AS ep, count(*) AS n, arg_max(nday, day) AS nd, arg_max(coalesce(nclose, -1), day) AS nc, max(high) AS hh, min(low) AS ll, arg_max(coalesce(nhigh, -1), day) AS nh, arg_max(coalesce(nlow, -1), day) AS nl, max(day) AS z FROM g WHERE held GROUP BY symbol, run),
 e AS (SELECT max(day) AS e FROM b)
@@ -116,14 +144,14 @@ SELECT symbol, cast(strftime(a, '%Y%m%d') AS int) AS entry_day, CASE WHEN z < e
 FROM i CROSS JOIN e LEFT JOIN b c USING (symbol) WHERE c.day = z"""
 
 
-# metrics: every brand's monthly close as a curve -----------------------------------------------------------------
+# metrics: every brand's daily close as a curve -----------------------------------------------------------------
 
 
 def _curves(spark: SparkSession, d: str) -> DataFrame:
-    return brands(spark, d, "month").where("close IS NOT NULL").select(F.col("symbol").alias("variant"), "day", F.col("close").alias("equity"))
+    return brands(spark, d).where("close IS NOT NULL").select(F.col("symbol").alias("variant"), "day", F.col("close").alias("equity"))
 
 
-CURVES = f"WITH {panel_sql(grain='month')}, q AS (SELECT symbol AS variant, day, close AS equity FROM b WHERE close IS NOT NULL), r AS (SELECT *, equity / lag(equity) OVER w - 1 AS ret, equity / max(equity) OVER (PARTITION BY variant ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM q WINDOW w AS (PARTITION BY variant ORDER BY day))"
+CURVES = f"WITH {panel_sql()}, q AS (SELECT symbol AS variant, day, close AS equity FROM b WHERE close IS NOT NULL), r AS (SELECT *, equity / lag(equity) OVER w - 1 AS ret, equity / max(equity) OVER (PARTITION BY variant ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM q WINDOW w AS (PARTITION BY variant ORDER BY day))"
 
 
 def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -160,12 +188,12 @@ SELECT a.variant, span, round(any_value(n) / arg_max(equity, day) - 1 + {OFF}, 6
 
 
 def metrics_rolling(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.rolling(_curves(spark, d), 12), [])
+    return rounded(metrics.rolling(_curves(spark, d)), [])
 
 
-_W = "OVER (PARTITION BY variant ORDER BY day ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
-METRICS_ROLLING = f"""{CURVES} SELECT variant, {D}, round(CASE WHEN count(ret) {_W} = 12 THEN stddev_samp(ret) {_W} * sqrt(252) END + {OFF}, 6) AS rolling_volatility,
- round(CASE WHEN count(ret) {_W} = 12 THEN avg(ret) {_W} / greatest(stddev_samp(ret) {_W}, 1e-6) * sqrt(252) END + {OFF}, 6) AS rolling_sharpe FROM r"""
+_W = "OVER (PARTITION BY variant ORDER BY day ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+METRICS_ROLLING = f"""{CURVES} SELECT variant, {D}, round(CASE WHEN count(ret) {_W} = 252 THEN stddev_samp(ret) {_W} * sqrt(252) END + {OFF}, 6) AS rolling_volatility,
+ round(CASE WHEN count(ret) {_W} = 252 THEN avg(ret) {_W} / greatest(stddev_samp(ret) {_W}, 1e-6) * sqrt(252) END + {OFF}, 6) AS rolling_sharpe FROM r"""
 
 
 def metrics_drawdowns(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +220,7 @@ def metrics_trades(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.trade_summary(t), ["variant", "num_trades", "win_rate", "profit_factor", "expectancy", "avg_holding_period", "avg_win", "avg_loss", "payoff_ratio", "best_trade", "worst_trade", "max_consecutive_losses"])
 
 
-METRICS_TRADES = f"""WITH {panel_sql(grain='month')}, h0 AS (SELECT *, coalesce(close > {mean(5)}, false) AS held FROM b), h AS (SELECT *, coalesce({lag('held')}, false) AS was FROM h0),
+METRICS_TRADES = f"""WITH {panel_sql()}, h0 AS (SELECT *, coalesce(close > {mean(5)}, false) AS held FROM b), h AS (SELECT *, coalesce({lag('held')}, false) AS was FROM h0),
 g AS (SELECT *, sum(CASE WHEN held AND NOT was THEN 1 ELSE 0 END) OVER ({PART}) AS run, lead(day) OVER ({PART}) AS nday, lead(close) OVER ({PART}) AS nclose FROM h),
 i AS (SELECT symbol, min(day) AS a, arg_min(close, day) AS ep, count(*) AS n, max(nday) AS z, arg_max(coalesce(nclose, -1), day) AS nc, count(*) - count(nday) AS open FROM g WHERE held GROUP BY symbol, run),
 t AS (SELECT symbol, a, z, n, CASE WHEN nc < 0 THEN 1 ELSE nc / ep END - 1 AS ret FROM i WHERE open = 0),
@@ -208,21 +236,55 @@ def metrics_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 # research ---------------------------------------------------------------------------------------------------------
 
 
+SPANS = [20, 60, 120]
+
+
 def research_sweep(spark: SparkSession, d: str) -> DataFrame:
     template = {"op": "Gt", "l": {"op": "Data", "name": "close"}, "r": {"op": "Average", "of": {"op": "Data", "name": "close"}, "n": "$n"}}
-    rows, _ = research.sweep(brands(spark, d, "month"), research.grid(template, {"n": [3, 6, 12]}), nav.Costs(fee=0.001))
+    rows, _ = research.sweep(brands(spark, d), research.grid(template, {"n": SPANS}), nav.Costs(fee=0.001, position_limit=0.01))
     return rounded(research.board(rows), ["variant", "total_return", "sharpe", "max_drawdown"])
 
 
+_SWEPT = ", s AS (" + " UNION ALL ".join(f"SELECT 'n={n}' AS variant, 0 AS seg, day, symbol, ord, {unit(f'close > {mean(n)}')} AS raw, close FROM b" for n in SPANS) + ")"
+RESEARCH_SWEEP = f"WITH RECURSIVE {nav_sql(panel_sql() + _SWEPT, 0.001, limit=0.01)}, {FIGURES} SELECT variant, round(total_return + {OFF}, 6) AS total_return, round(sharpe + {OFF}, 6) AS sharpe, round(max_drawdown + {OFF}, 6) AS max_drawdown FROM f"
+
+
 def research_lookahead(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(research.lookahead(brands(spark, d, "month"), parse(SMA), nav.Costs()), ["lag", "total_return", "sharpe"])
+    return rounded(research.lookahead(brands(spark, d), parse(SMA), nav.Costs(position_limit=0.001)), ["lag", "total_return", "sharpe"])
+
+
+_LAGGED = f", q AS (SELECT *, {unit(f'close > {mean(5)}')} AS p FROM b), s AS (" + " UNION ALL ".join(f"SELECT {k} AS variant, 0 AS seg, day, symbol, ord, coalesce(lag(p, {k}) OVER ({PART}), 0) AS raw, close FROM q" for k in (0, 1, 2, 3, 5, 10, 21)) + ")"
+RESEARCH_LOOKAHEAD = f"WITH RECURSIVE {nav_sql(panel_sql() + _LAGGED, limit=0.001)}, {FIGURES} SELECT cast(variant AS int) AS lag, round(total_return + {OFF}, 6) AS total_return, round(sharpe + {OFF}, 6) AS sharpe FROM f"
+
+TRAIN, TEST, WALKED = 504, 252, [20, 60]
+
+
+def _walk(spark: SparkSession, d: str) -> research.Walk:
+    return research.walk_forward(brands(spark, d), {f"n={n}": parse(f"close > sma(close, {n})") for n in WALKED}, nav.Costs(fee=0.001), TRAIN, TEST)
 
 
 def research_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    variants = {f"n={n}": parse(f"close > sma(close, {n})") for n in (3, 6)}
-    out = research.walk_forward(brands(spark, d, "month"), variants, nav.Costs(fee=0.001), 24, 12)
-    rows = [(int(w["test_from"].strftime("%Y%m%d")), int(w["test_to"].strftime("%Y%m%d")), w["variant"], round(w["test_return"], 6)) for w in out]
-    return spark.createDataFrame(rows, "test_from int, test_to int, variant string, test_return double")
+    """The windows of a walk-forward run, the last one short."""
+    rows = [(w["train_from"], w["test_from"], w["test_to"], w["variant"], float(w["in_sample"]), float(w["test_return"])) for w in _walk(spark, d).windows]
+    return rounded(spark.createDataFrame(rows, "train_from date, test_from date, test_to date, variant string, in_sample double, test_return double"), [])
+
+
+def research_walk_curve(spark: SparkSession, d: str) -> DataFrame:
+    """The chained out-of-sample curve."""
+    return rounded(spark.createDataFrame([(x, float(e)) for x, e in _walk(spark, d).curve], "day date, equity double"), [])
+
+
+_TRAINED = f""", k AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS rn FROM (SELECT DISTINCT day FROM b)), e AS (SELECT max(rn) AS e FROM k),
+w AS (SELECT i, i * {TRAIN + TEST} AS a, i * {TRAIN + TEST} + {TRAIN} AS t, least(i * {TRAIN + TEST} + {TRAIN + TEST} - 1, e) AS z FROM e, range(100) r(i) WHERE i * {TRAIN + TEST} + {TRAIN} <= e),
+g AS (SELECT b.day, b.symbol, b.ord, b.close, k.rn, p.n, CASE p.n {" ".join(f"WHEN {n} THEN {unit(f'close > {mean(n)}')}" for n in WALKED)} END AS raw FROM b JOIN k USING (day) CROSS JOIN (SELECT unnest({WALKED}) AS n) p)""".replace("PARTITION BY symbol ORDER BY day", "PARTITION BY b.symbol, p.n ORDER BY b.day")
+_CHOSEN = f"SELECT i, cast(n AS int) AS n, sharpe FROM (SELECT w.i, split_part(f.variant, '|', 2) AS n, f.sharpe, row_number() OVER (PARTITION BY w.i ORDER BY f.sharpe DESC, cast(split_part(f.variant, '|', 2) AS int) DESC) AS p FROM w JOIN f ON split_part(f.variant, '|', 1) = w.i::varchar WHERE f.sharpe IS NOT NULL) WHERE p = 1"
+_WALKED = f"""WITH RECURSIVE ch AS (WITH RECURSIVE {nav_sql(panel_sql() + _TRAINED + ", s AS (SELECT w.i || '|' || g.n AS variant, 0 AS seg, g.day, g.symbol, g.ord, g.raw, g.close FROM g JOIN w ON g.rn BETWEEN w.a AND w.t - 1)", 0.001)}, {FIGURES} {_CHOSEN}),
+{nav_sql(panel_sql() + _TRAINED + ", s AS (SELECT 'walk' AS variant, w.i AS seg, g.day, g.symbol, g.ord, g.raw, g.close FROM g JOIN ch ON ch.n = g.n JOIN w ON w.i = ch.i AND g.rn BETWEEN w.t - 1 AND w.z)", 0.001)},
+y AS (SELECT seg, arg_max(equity, r) AS last FROM n GROUP BY seg)"""
+RESEARCH_WALK_FORWARD = _WALKED + f""" SELECT cast(strftime(ka.day, '%Y%m%d') AS int) AS train_from, cast(strftime(kt.day, '%Y%m%d') AS int) AS test_from, cast(strftime(kz.day, '%Y%m%d') AS int) AS test_to, 'n=' || ch.n AS variant, round(ch.sharpe + {OFF}, 6) AS in_sample, round(y.last - 1 + {OFF}, 6) AS test_return
+FROM w JOIN ch USING (i) JOIN y ON y.seg = w.i JOIN k ka ON ka.rn = w.a JOIN k kt ON kt.rn = w.t JOIN k kz ON kz.rn = w.z"""
+RESEARCH_WALK_CURVE = _WALKED + f""", o AS (SELECT n.*, row_number() OVER (PARTITION BY seg ORDER BY r) AS p FROM n)
+SELECT {D.replace('day,', 'o.day,')}, round(o.equity * coalesce((SELECT product(y.last) FROM y WHERE y.seg < o.seg), 1) + {OFF}, 6) AS equity FROM o WHERE p > 1"""
 
 
 def _factor(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +307,19 @@ def research_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rounded(research.factor_report(_factor(spark, d)), [])
 
 
-RESEARCH_BUCKETS = f"{FACTOR} SELECT cast(floor(p * 5 / m) AS int) AS bucket, round(avg(fwd) + {OFF}, 6) AS mean_return, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY f, ord) - 1 AS p FROM k WHERE m >= 5) GROUP BY 1"
+RESEARCH_BUCKETS = f"{FACTOR} SELECT cast(floor(p * 5 / m) AS int) AS bucket, round(avg(fwd) + {OFF}, 6) AS mean_return, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY f, ord) - 1 AS p FROM k WHERE m >= 2) GROUP BY 1"
+
+
+def research_factor(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(research.factor_figures(_factor(spark, d)), [])
+
+
+RESEARCH_FACTOR = f"""{FACTOR}, i AS (SELECT day, coalesce(covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0), 0) AS ic FROM k WHERE m >= 2 GROUP BY day),
+u AS (SELECT *, cast(floor(p * 5 / m) AS int) AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY f, ord) - 1 AS p FROM k WHERE m >= 2)),
+e AS (SELECT avg(CASE WHEN bucket = 4 THEN fwd END) - avg(CASE WHEN bucket = 0 THEN fwd END) AS ls FROM u),
+g AS (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM (SELECT DISTINCT day FROM b)), o AS (SELECT day, symbol FROM u WHERE bucket = 4),
+z AS (SELECT o.day, avg(CASE WHEN q.symbol IS NULL THEN 1.0 ELSE 0 END) AS gone FROM o JOIN g ON g.day = o.day JOIN (SELECT day FROM i) j ON j.day = g.nx LEFT JOIN o q ON q.day = g.nx AND q.symbol = o.symbol GROUP BY o.day)
+SELECT (SELECT count(*) FROM i) AS n_days, (SELECT round(avg(ic) + {OFF}, 6) FROM i) AS mean_ic, (SELECT round(stddev_samp(ic) + {OFF}, 6) FROM i) AS ic_deviation, (SELECT round(avg(ic) / stddev_samp(ic) + {OFF}, 6) FROM i) AS icir, (SELECT round(ls + {OFF}, 6) FROM e) AS long_short, (SELECT round(avg(gone) + {OFF}, 6) FROM z) AS top_turnover"""
 
 
 def research_events(spark: SparkSession, d: str) -> DataFrame:
@@ -291,13 +365,13 @@ AUDIT_DENSITY = f"WITH {panel_sql()} " + " UNION ALL ".join(f"SELECT '{s}' AS se
 
 
 def audit_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Nations with shipments against the suppliers' sectors and a name nobody has."""
+    """Nations with shipments against all nations."""
     lines = table(spark, d, "lineitem").select("l_suppkey").distinct().join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    have = lines.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("n_regionkey > 0").select(F.col("n_name").alias("symbol"))
+    have = lines.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("symbol"))
     return audit.coverage(have, sectors(spark, d))
 
 
-AUDIT_COVERAGE = "SELECT n_name AS symbol, 'missing' AS problem FROM nation WHERE n_regionkey = 0 OR n_nationkey NOT IN (SELECT s_nationkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey)"
+AUDIT_COVERAGE = "SELECT n_name AS symbol, 'missing' AS problem FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey)"
 
 
 def audit_filing_lag(spark: SparkSession, d: str) -> DataFrame:
@@ -318,6 +392,13 @@ def audit_statuses(spark: SparkSession, d: str) -> DataFrame:
     return audit.statuses(nations(spark, d), sectors(spark, d), ["close", "volume"])
 
 
+AUDIT_STATUSES = f"""WITH {panel_sql('nations')}, v AS (SELECT *, lag(close) OVER ({PART}) AS p, rn - lag(rn) OVER ({PART}) AS step FROM b WHERE close IS NOT NULL),
+c AS (SELECT 'coverage' AS "check", 'fail' AS bad, (SELECT count(*) FROM nation WHERE n_name NOT IN (SELECT symbol FROM b)) AS found UNION ALL SELECT 'calendar_gaps', 'warn', (SELECT count(*) FROM v WHERE step > 5)
+ UNION ALL SELECT 'adjustment', 'warn', (SELECT count(*) FROM v WHERE abs(close / nullif(p, 0) - 1) > 0.5) UNION ALL SELECT 'survivorship', 'warn', (SELECT cast(count(*) = 0 AS int) FROM (SELECT max(day) AS z FROM v GROUP BY symbol) WHERE z < (SELECT max(day) FROM b))
+ UNION ALL SELECT 'density', 'fail', (SELECT cast(count(close) = 0 AS int) + cast(count(volume) = 0 AS int) FROM b))
+SELECT "check", CASE WHEN found > 0 THEN bad ELSE 'ok' END AS status, found FROM c"""
+
+
 def cohort_percentile(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
     return audit.cohort_percentile(parts, "p_brand", "p_retailprice").select("p_partkey", R("pctile").alias("pctile"))
@@ -379,9 +460,9 @@ SELECT event_type, count(*) AS n, round(arg_max(v, rn) + {OFF}, 6) AS ema FROM s
 
 
 def queries() -> dict:
-    made = [join_align, join_as_of, join_reindex, nav_buy_hold, nav_strategy, nav_trades, metrics_summary, metrics_yearly, metrics_trailing, metrics_rolling, metrics_drawdowns, metrics_against, metrics_trades, metrics_bootstrap, research_sweep, research_lookahead, research_walk_forward, research_ic, research_buckets, research_events, audit_gaps, audit_adjustment, audit_survivorship, audit_density, audit_coverage, audit_filing_lag, audit_membership, audit_statuses, cohort_percentile, source_wide, source_series, stream_bars, stream_ema]
+    made = [join_align, join_as_of, join_reindex, nav_buy_hold, nav_costs, nav_strategy, nav_trades, metrics_summary, metrics_yearly, metrics_trailing, metrics_rolling, metrics_drawdowns, metrics_against, metrics_trades, metrics_bootstrap, research_sweep, research_lookahead, research_walk_forward, research_walk_curve, research_ic, research_buckets, research_factor, research_events, audit_gaps, audit_adjustment, audit_survivorship, audit_density, audit_coverage, audit_filing_lag, audit_membership, audit_statuses, cohort_percentile, source_wide, source_series, stream_bars, stream_ema]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict:
-    return {"join_align": JOIN_ALIGN, "join_as_of": JOIN_AS_OF, "join_reindex": JOIN_REINDEX, "nav_buy_hold": NAV_BUY_HOLD, "nav_trades": NAV_TRADES, "metrics_summary": METRICS_SUMMARY, "metrics_yearly": METRICS_YEARLY, "metrics_trailing": METRICS_TRAILING, "metrics_rolling": METRICS_ROLLING, "metrics_drawdowns": METRICS_DRAWDOWNS, "metrics_against": METRICS_AGAINST, "metrics_trades": METRICS_TRADES, "research_ic": RESEARCH_IC, "research_buckets": RESEARCH_BUCKETS, "research_events": RESEARCH_EVENTS, "audit_gaps": AUDIT_GAPS, "audit_adjustment": AUDIT_ADJUSTMENT, "audit_survivorship": AUDIT_SURVIVORSHIP, "audit_density": AUDIT_DENSITY, "audit_coverage": AUDIT_COVERAGE, "audit_filing_lag": AUDIT_FILING_LAG, "audit_membership": AUDIT_MEMBERSHIP, "cohort_percentile": COHORT, "source_wide": SOURCE_WIDE, "source_series": SOURCE_SERIES, "stream_bars": STREAM_BARS, "stream_ema": STREAM_EMA}
+    return {"join_align": JOIN_ALIGN, "join_as_of": JOIN_AS_OF, "join_reindex": JOIN_REINDEX, "nav_buy_hold": NAV_BUY_HOLD, "nav_trades": NAV_TRADES, "nav_costs": NAV_COSTS, "research_sweep": RESEARCH_SWEEP, "research_lookahead": RESEARCH_LOOKAHEAD, "research_walk_forward": RESEARCH_WALK_FORWARD, "research_walk_curve": RESEARCH_WALK_CURVE, "research_factor": RESEARCH_FACTOR, "audit_statuses": AUDIT_STATUSES, "metrics_summary": METRICS_SUMMARY, "metrics_yearly": METRICS_YEARLY, "metrics_trailing": METRICS_TRAILING, "metrics_rolling": METRICS_ROLLING, "metrics_drawdowns": METRICS_DRAWDOWNS, "metrics_against": METRICS_AGAINST, "metrics_trades": METRICS_TRADES, "research_ic": RESEARCH_IC, "research_buckets": RESEARCH_BUCKETS, "research_events": RESEARCH_EVENTS, "audit_gaps": AUDIT_GAPS, "audit_adjustment": AUDIT_ADJUSTMENT, "audit_survivorship": AUDIT_SURVIVORSHIP, "audit_density": AUDIT_DENSITY, "audit_coverage": AUDIT_COVERAGE, "audit_filing_lag": AUDIT_FILING_LAG, "audit_membership": AUDIT_MEMBERSHIP, "cohort_percentile": COHORT, "source_wide": SOURCE_WIDE, "source_series": SOURCE_SERIES, "stream_bars": STREAM_BARS, "stream_ema": STREAM_EMA}

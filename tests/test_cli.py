@@ -33,4 +33,5 @@ def test_runs(spark, tmp_path, capsys):
     assert cli.main(["grid", str(t), "--params", '{"n": [1, 2]}', *panel]) == 0
     capsys.readouterr()
     assert cli.main(["walkforward", str(t), "--params", '{"n": [1]}', "--train", "9", "--test", "5", *panel]) == 0
-    assert len(capsys.readouterr().out.strip().splitlines()) == 2
+    lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+    assert len(lines) == 3 and lines[0]["test_from"] and "total_return" in lines[-1]  # two windows and the figures of the chained tests

@@ -77,6 +77,78 @@ def test_research(spark):
     out, failed = research.sweep(panel, {"a": parse("close > sma(close, 3)"), "b": parse("close > 12"), "bad": parse("nope")}, nav.Costs())
     assert set(failed) == {"bad"} and {r["variant"] for r in research.board(out).collect()} == {"a", "b"}
     assert set(research.grid({"op": "Average", "of": {"op": "Data", "name": "x"}, "n": "$n"}, {"n": [1, 2]})) == {"n=1", "n=2"}
-    assert research.segments(list(range(10)), 3, 2) == [(0, 2, 3, 4), (5, 7, 8, 9)]
-    walked = research.walk_forward(panel, {"a": parse("close > sma(close, 3)"), "b": parse("close > 12")}, nav.Costs(), 10, 5)
-    assert len(walked) == 2 and all(w["variant"] in "ab" for w in walked)
+    shown = research.board(out, failed=failed).collect()
+    assert [(r["variant"], r["ok"]) for r in shown][-1] == ("bad", False) and shown[-1]["error"] and shown[0]["ok"]
+
+
+def bars(spark, values, names="ABCDEFGH"):
+    """Closes as lists of days of rows of symbols."""
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=r), names[c], c, None if x is None else float(x)) for r, row in enumerate(values) for c, x in enumerate(row)]
+    return spark.createDataFrame(rows, "day date, symbol string, ord int, close double")
+
+
+def test_walk_forward_windows():
+    assert research.segments(list(range(10)), 3, 2) == [(0, 3, 5), (5, 8, 10)] and research.segments(list(range(9)), 3, 2)[-1] == (5, 8, 9)
+    assert research.segments(list(range(3)), 3, 2) == []
+    with pytest.raises(ValueError, match="at least one day"):
+        research.segments([1], 0, 1)
+
+
+def test_walk_forward_earns_over_its_seams(spark):
+    # A rises by a tenth a day, B falls: the variant that holds A wins, and no return is lost where a window begins
+    panel = bars(spark, [[1.1**k, 0.95**k] for k in range(14)], "AB")
+    variants = {"a": parse("is_largest(close, 1)"), "b": parse("is_smallest(close, 1)")}
+    w = research.walk_forward(panel, variants, nav.Costs(), 4, 3)
+    assert [x["variant"] for x in w.windows] == ["a", "a"] and len(w.windows) == 2
+    assert np.allclose([x["test_return"] for x in w.windows], [1.1**3 - 1] * 2)
+    assert len(w.curve) == 6 and np.isclose(w.curve[-1][1], 1.1**6) and np.isclose(w.figures["total_return"], 1.1**5 - 1)
+    # the last window may be short; a book carried over the seam pays no fee again
+    short = research.walk_forward(bars(spark, [[1.1**k, 0.95**k] for k in range(12)], "AB"), variants, nav.Costs(fee=0.01), 4, 3)
+    assert (short.windows[-1]["test_to"] - short.windows[-1]["test_from"]).days == 0 and np.isclose(short.curve[-1][1], 0.99 * 1.1**4)
+    with pytest.raises(ValueError, match="too few"):
+        research.walk_forward(panel, variants, nav.Costs(), 20, 3)
+
+
+def test_factor_figures_keep_thin_days(spark):
+    close = [[10, 10, 10, 10, 10], [11, 12, 13, 14, 15], [12, 13, None, None, None], [13, 12, 13, 14, 15], [14, 14, 14, 15, 16]]
+    f = [[1, 2, 3, 4, 5], [5, 4, 3, 2, 1], [1, 2, None, None, None], [1, 2, 3, 4, 5], [1, 1, 1, 1, 1]]
+    panel = bars(spark, close)
+    days = research.factor_days(bars(spark, f).withColumnRenamed("close", "v"), panel)
+    got = {r["bucket"]: (round(r["mean_return"], 6), r["n"]) for r in research.factor_report(days).collect()}
+    fwd = lambda r, c: close[r + 1][c] / close[r][c] - 1
+    # days 0 and 3 have five cells, days 1 and 2 two: their cells fall into buckets 0 and 2
+    assert got[0] == (round(np.mean([fwd(0, 0), fwd(1, 1), fwd(2, 0), fwd(3, 0)]), 6), 4) and got[2][1] == 4 and got[4][1] == 2
+    fig = research.factor_figures(days).first()
+    assert fig["n_days"] == 4 and fig["top_turnover"] == 1.0 and fig["icir"] == pytest.approx(fig["mean_ic"] / fig["ic_deviation"])
+    assert fig["long_short"] == pytest.approx(np.mean([fwd(0, 4), fwd(3, 4)]) - np.mean([fwd(0, 0), fwd(1, 1), fwd(2, 0), fwd(3, 0)]))
+    assert research.factor_figures(days.limit(0)).first()["n_days"] == 0
+
+
+def test_event_study_passes_over_infinite_returns(spark):
+    panel = bars(spark, [[1], [0], [5], [10]])
+    events = bars(spark, [[0], [1], [0], [0]]).withColumnRenamed("close", "v")
+    got = {r["lag"]: r["mean_return"] for r in research.event_study(events, panel, 1, 2).collect()}
+    assert got == {0: -1.0, 2: 1.0}
+
+
+def test_a_failing_variant_fails_alone(spark):
+    cells = bars(spark, [[1], [2]]).select("day", "symbol", "ord", "close").withColumnRenamed("close", "price")
+    from pyspark.sql import functions as F
+
+    both = cells.withColumns({"position": F.lit(1.0), "variant": F.lit("good")}).unionByName(cells.withColumns({"day": F.lit(None).cast("date"), "position": F.lit(1.0), "variant": F.lit("bad")}))
+    rows = nav.simulate(both, nav.Costs())
+    assert nav.equity_of(rows).where("variant = 'good'").count() == 2
+    assert [r["variant"] for r in research.board(rows).collect()] == ["good", "bad"] or nav.errors_of(rows).count() == 0
+
+
+def test_never_held_symbols_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    panel = bars(spark, [[10, 5, 7], [11, 6, 7], [12, 4, 9]])
+    cells = panel.select("day", "symbol", "ord", F.col("close").alias("price"), F.when(F.col("symbol") == "B", 1.0).otherwise(0.0).alias("position"), F.lit("v").alias("variant"))
+    assert [round(r["equity"], 6) for r in nav.equity_of(nav.simulate(cells, nav.Costs())).orderBy("day").collect()] == [1, 1.2, 0.8]
+    flat = nav.equity_of(nav.simulate(cells.withColumn("position", F.lit(0.0)), nav.Costs())).collect()
+    assert len(flat) == 3 and all(r["equity"] == 1 for r in flat)
+    # a book carried in counts as held
+    sold = nav.equity_of(nav.simulate(cells.withColumn("position", F.lit(0.0)), nav.Costs(fee=0.1), {"v": {"C": 0.5}})).orderBy("day").first()
+    assert sold["equity"] == pytest.approx(0.95)
