@@ -4,7 +4,8 @@ fmt FILE | lint FILE | check ENVELOPE.json | schema | new NAME
 run FILE | lookahead FILE | factor FILE | event FILE | audit   --panel PATH [--sectors PATH] [--from DAY] [--to DAY] [--fee F] [--tax T] [--out DIR]
 grid TEMPLATE.json --params '{"n": [5, 10]}' | walkforward TEMPLATE.json --params ... --train N --test N   --panel PATH ...
 
-A panel is a Parquet table with day, symbol and a column per series; only the columns a strategy names are read.
+A panel is a Parquet table with day, symbol and a column per series; only the columns a strategy names are read. Instead of it --tree names a
+folder of series files (prices/, fundamentals/, panels/). A strategy's front matter sets window, symbols, index, traded series and costs; options go before it.
 """
 
 from __future__ import annotations
@@ -12,33 +13,49 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from gridwright.plans import catalog, dsl
 
 
-def _panel(spark, args, names):
+def _panel(spark, args, names, front=None):
     from gridwright.operators.panel import between, densify
-
-    raw = spark.read.parquet(args.panel)
-    have = [c for c in dict.fromkeys([*names, "close", "open", "high", "low", "volume"]) if c in raw.columns]
-    missing = [n for n in names if n not in have]
+    from gridwright.operators.universe import scoped
+    from gridwright.sources import files
+
+    front = front or dsl.Front()
+    first, last = args.first or front.first, args.last or front.last
+    day = lambda d: f"{d[:4]}-{d[4:6]}-{d[6:]}" if d and d.isdigit() else d
+    wanted = list(dict.fromkeys([*names, *front.require]))
+    usual = ["close", "open", "high", "low", "volume"]
+    if args.tree:
+        panel = files.load(spark, args.tree, list(dict.fromkeys([*wanted, *usual])), day(first), day(last), front.symbols)
+    else:
+        raw = spark.read.parquet(args.panel)
+        have = [c for c in dict.fromkeys([*wanted, *usual]) if c in raw.columns]
+        panel = densify(scoped(between(raw.select("day", "symbol", *have), day(first), day(last)), front.symbols))
+    missing = [n for n in wanted if n not in panel.columns]
     if missing:
         raise SystemExit(f"the panel has no series {', '.join(missing)}")
-    return densify(between(raw.select("day", "symbol", *have), args.first, args.last))
+    return panel
 
 
-def _expression(path: str) -> catalog.Node:
+def _expression(path: str) -> tuple[catalog.Node, dsl.Front]:
+    """A strategy file's expression, held to its index if it names one, and what its front matter asks for."""
     text = Path(path).read_text()
     doc = json.loads(text) if text.lstrip().startswith("{") else None
     if doc is None:
-        return dsl.parse(text)
+        front = dsl.settings(text)
+        made = dsl.parse(text)
+        return (catalog.within(made, f"in_{front.index}") if front.index else made), front
     if "op" in doc:
-        return catalog.from_json(doc)
+        return catalog.from_json(doc), dsl.Front()
     wrong = dsl.check_envelope(doc)
     if wrong:
         raise SystemExit("\n".join(wrong))
-    return catalog.from_json(doc["spec"]) if "spec" in doc else dsl.parse(doc["source"])
+    front = dsl.settings(doc.get("source", ""))
+    return (catalog.from_json(doc["spec"]) if "spec" in doc else dsl.parse(doc["source"])), replace(front, config=doc.get("config") or front.config)
 
 
 def _shown(df, out: str | None) -> None:
@@ -53,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="gridwright", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("verb", choices=["fmt", "lint", "check", "schema", "new", "run", "grid", "lookahead", "walkforward", "factor", "event", "audit"])
     p.add_argument("file", nargs="?")
-    for name in ("panel", "sectors", "out", "params"):
+    for name in ("panel", "tree", "sectors", "out", "params"):
         p.add_argument(f"--{name}")
     p.add_argument("--from", dest="first")
     p.add_argument("--to", dest="last")
@@ -104,10 +121,12 @@ def main(argv: list[str] | None = None) -> int:
             for w in [*walk.windows, walk.figures]:
                 print(json.dumps(w, default=str))
         return 0
-    expression = _expression(args.file)
-    panel = _panel(spark, args, catalog.series_of(expression))
+    expression, front = _expression(args.file)
+    panel = _panel(spark, args, catalog.series_of(expression), front)
+    given = {k: v for k, v in (("fee", args.fee), ("tax", args.tax)) if v}
+    cfg = nav.costs(front.config | given)
     if args.verb == "run":
-        _shown(report.report(nav.simulate(research.positions(panel, expression, "run", sectors), cfg)), args.out)
+        _shown(report.report(nav.simulate(research.positions(panel, expression, front.name or "run", sectors, front.price_key), cfg)), args.out)
     elif args.verb == "lookahead":
         _shown(research.lookahead(panel, expression, cfg), args.out)
     elif args.verb == "factor":

@@ -105,6 +105,59 @@ def against(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.join(whole, "variant")
 
 
+def equal_weight(panel: DataFrame, series: str = "close") -> DataFrame:
+    """day, level: all symbols of a panel equally weighted and rebalanced daily, from 1; only symbols with a positive value the day before and one today count."""
+    before = F.lag(series).over(Window.partitionBy("symbol").orderBy("day"))
+    moves = panel.withColumn("_m", F.when(before > 0, F.col(series) / F.nullif(before, F.lit(0.0)) - 1.0))
+    daily = moves.groupBy("day").agg(F.coalesce(F.avg("_m"), F.lit(0.0)).alias("_m"))
+    # a row a day; a loss of everything leaves 0 for good
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.exp(F.sum(F.when(F.col("_m") > -1, F.log1p("_m")).otherwise(0.0)).over(upto))
+    return daily.select("day", F.when(F.min("_m").over(upto) > -1, grown).otherwise(0.0).alias("level"))
+
+
+def _beside(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """variant, day, equity, level: each variant's days with the benchmark's level of the same day, NULL where it has none."""
+    b = benchmark.groupBy("day").agg(F.max("level").alias("level"))
+    return equity.select("variant", "day", "equity").join(b, "day", "left")
+
+
+def rolling_correlation(equity: DataFrame, benchmark: DataFrame, window: int = 252) -> DataFrame:
+    """variant, day, correlation of daily returns with the benchmark's over ``window`` days, where at least nine tenths of them have both; else NULL."""
+    before = lambda c: F.lag(c).over(along())
+    r = lambda c: F.col(c) / F.nullif(before(c), F.lit(0.0)) - 1.0
+    both = _beside(equity, benchmark).withColumns({"_r": r("equity"), "_m": r("level"), "_no": F.row_number().over(along())})
+    ok = F.col("_r").isNotNull() & F.col("_m").isNotNull()
+    w = along().rowsBetween(1 - window, 0)
+    x, y = F.when(ok, F.col("_r")), F.when(ok, F.col("_m"))
+    spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
+    value = F.covar_pop(x, y).over(w) / F.nullif(spread, F.lit(0.0))
+    return both.select("variant", "day", F.when((F.col("_no") > window) & (F.count(x).over(w) >= 0.9 * window), value).alias("correlation"))
+
+
+def share_beating(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """variant, share of days on which the curve lies at or above the benchmark, both rebased to their first common day."""
+    both = _beside(equity, benchmark).where("equity IS NOT NULL AND level IS NOT NULL")
+    start = both.groupBy("variant").agg(F.min_by("equity", "day").alias("_e"), F.min_by("level", "day").alias("_l"))
+    won = F.col("equity") * F.col("_l") >= F.col("level") * F.col("_e")
+    return both.join(start, "variant").groupBy("variant").agg(F.avg(won.cast("double")).alias("share_beating"))
+
+
+def month_grid(equity: DataFrame) -> DataFrame:
+    """variant, year, m1 to m12 and total: returns by month and year."""
+    months = per_period(equity, "month").select("variant", F.year("period").alias("year"), F.month("period").alias("_m"), "ret")
+    grid = months.groupBy("variant", "year").agg(*[F.max(F.when(F.col("_m") == k, F.col("ret"))).alias(f"m{k}") for k in range(1, 13)])
+    return grid.join(per_period(equity, "year").select("variant", F.year("period").alias("year"), F.col("ret").alias("total")), ["variant", "year"])
+
+
+def year_table(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """variant, year, strategy, benchmark, excess: yearly returns beside the benchmark's; NULL where that has none."""
+    own = per_period(equity, "year").select("variant", F.year("period").alias("year"), F.col("ret").alias("strategy"))
+    level = benchmark.where(F.col("level").isNotNull()).select(F.lit("").alias("variant"), "day", F.col("level").alias("equity"))
+    other = per_period(level, "year").select(F.year("period").alias("year"), F.col("ret").alias("benchmark"))
+    return own.join(other, "year", "left").select("variant", "year", "strategy", "benchmark", (F.col("strategy") - F.col("benchmark")).alias("excess"))
+
+
 def trade_summary(trades: DataFrame) -> DataFrame:
     """One row per variant over closed trades; profit factor is infinite without losses."""
     t = trades.where(F.col("exit_day").isNotNull())

@@ -6,7 +6,7 @@ book depends on the day before. A variant's panel is bounded by its days times i
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
@@ -58,6 +58,17 @@ def gone(px: np.ndarray, after: int) -> tuple[np.ndarray, np.ndarray]:
     return run >= after, run == after
 
 
+def costs(config: dict) -> Costs:
+    """Costs from a plain object, its stops in an object of their own; unknown names are errors."""
+    known = lambda kind, given: [n for n in given if n not in {f.name for f in fields(kind)}]
+    stops = dict(config.get("stops") or {})
+    wrong = known(Costs, config) + [f"stops.{n}" for n in known(Stops, stops)]
+    if wrong:
+        raise ValueError(f"unknown settings: {', '.join(wrong)}")
+    return Costs(**{k: v for k, v in config.items() if k != "stops"}, stops=Stops(**stops))
+
+
+
 class _Stopper:
     """Holdings' entries and peaks, a vector over the symbols."""
 

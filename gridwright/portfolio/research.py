@@ -19,11 +19,14 @@ from gridwright.portfolio import metrics, nav
 PRICES = {"close": "price", "open": "open", "high": "high", "low": "low", "volume": "volume"}
 
 
-def positions(panel: DataFrame, expression: Node, variant: str, industry: DataFrame | None = None) -> DataFrame:
-    """A strategy's cells on the price grid, ready to simulate."""
+def positions(panel: DataFrame, expression: Node, variant: str, industry: DataFrame | None = None, price: str = "close") -> DataFrame:
+    """A strategy's cells on the price grid, ready to simulate; ``price`` is the series that is traded."""
     value = evaluate(panel, expression, industry, "position").drop("ord")
-    have = [c for c in PRICES if c in panel.columns]
-    cells = panel.select(*AXES, *[F.col(c).alias(PRICES[c]) for c in have]).join(value, ["day", "symbol"], "left")
+    traded = {price: "price"} | {k: v for k, v in PRICES.items() if v != "price" and k in panel.columns}
+    have = [F.col(c).alias(n) for c, n in traded.items() if c != price] + [F.col(price).alias("price")]
+    if price in PRICES and PRICES[price] != "price" and price in panel.columns:
+        have.append(F.col(price).alias(PRICES[price]))
+    cells = panel.select(*AXES, *have).join(value, ["day", "symbol"], "left")
     return cells.withColumn("variant", F.lit(variant))
 
 

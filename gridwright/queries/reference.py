@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.functions.columns import packed
-from gridwright.operators import audit
+from gridwright.functions.columns import packed, tidy, unpacked
+from gridwright.operators import audit, universe
 from gridwright.operators.panel import align, as_of, filled, on_grid_of
 from gridwright.plans.compile import evaluate
 from gridwright.plans.dsl import parse
@@ -215,6 +215,51 @@ s AS (SELECT variant, covar_samp(r, m) / var_samp(m) AS beta, avg(r) AS ar, avg(
 SELECT variant, round(beta + {OFF}, 6) AS beta, round((ar - beta * am) * 252 + {OFF}, 6) AS alpha, round(te * sqrt(252) + {OFF}, 6) AS tracking_error, round((ar - am) / te * sqrt(252) + {OFF}, 6) AS information_ratio, round(br + {OFF}, 6) AS benchmark_return FROM s JOIN t USING (variant)"""
 
 
+def _bench(spark: SparkSession, d: str) -> DataFrame:
+    return _curves(spark, d).groupBy("day").agg(F.avg("equity").alias("level"))
+
+
+def metrics_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.rolling_correlation(_curves(spark, d), _bench(spark, d)), [])
+
+
+_BESIDE = f"{CURVES}, m AS (SELECT day, avg(equity) AS level FROM q GROUP BY day), p AS (SELECT variant, day, equity, level, row_number() OVER w AS no, equity / lag(equity) OVER w - 1 AS r, level / lag(level) OVER w - 1 AS m FROM q JOIN m USING (day) WINDOW w AS (PARTITION BY variant ORDER BY day))"
+METRICS_CORRELATION = f"{_BESIDE} SELECT variant, {D}, round(CASE WHEN no > 252 THEN corr(r, m) {_W} END + {OFF}, 6) AS correlation FROM p"
+
+
+def metrics_beating(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.share_beating(_curves(spark, d), _bench(spark, d)), [])
+
+
+METRICS_BEATING = f"{_BESIDE} SELECT variant, round(avg(CASE WHEN equity * l >= level * e THEN 1.0 ELSE 0 END) + {OFF}, 6) AS share_beating FROM (SELECT *, first_value(equity) OVER w AS e, first_value(level) OVER w AS l FROM p WINDOW w AS (PARTITION BY variant ORDER BY day)) GROUP BY variant"
+
+
+def metrics_month_grid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.month_grid(_curves(spark, d)), [])
+
+
+def _periods(unit_: str) -> str:
+    return f"(SELECT variant, period, z / coalesce(lag(z) OVER (PARTITION BY variant ORDER BY period), a) - 1 AS ret FROM (SELECT variant, date_trunc('{unit_}', day) AS period, arg_max(equity, day) AS z, arg_min(equity, day) AS a FROM q GROUP BY ALL))"
+
+
+METRICS_MONTH_GRID = f"{CURVES}, g AS {_periods('month')}, y AS {_periods('year')} SELECT g.variant, cast(year(g.period) AS int) AS year, " + ", ".join(f"round(max(CASE WHEN month(g.period) = {k} THEN g.ret END) + {OFF}, 6) AS m{k}" for k in range(1, 13)) + f", round(any_value(y.ret) + {OFF}, 6) AS total FROM g JOIN y ON y.variant = g.variant AND year(y.period) = year(g.period) GROUP BY g.variant, year(g.period)"
+
+
+def metrics_year_table(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.year_table(_curves(spark, d), _bench(spark, d)), [])
+
+
+METRICS_YEAR_TABLE = f"{CURVES}, y AS {_periods('year')}, z AS {_periods('year').replace('FROM q', 'FROM (SELECT 0 AS variant, day, avg(equity) AS equity FROM q GROUP BY day)')} SELECT y.variant, cast(year(y.period) AS int) AS year, round(y.ret + {OFF}, 6) AS strategy, round(z.ret + {OFF}, 6) AS benchmark, round(y.ret - z.ret + {OFF}, 6) AS excess FROM y LEFT JOIN z ON z.period = y.period"
+
+
+def metrics_equal_weight(spark: SparkSession, d: str) -> DataFrame:
+    """The logarithm of the curve of all brands, rebalanced each period; by month, as years of days leave the doubles."""
+    return metrics.equal_weight(brands(spark, d, "month")).select(packed("day").alias("day"), R(F.log("level")).alias("log_level"))
+
+
+METRICS_EQUAL_WEIGHT = f"WITH {panel_sql(grain='month')}, m AS (SELECT day, coalesce(avg(close / p - 1), 0) AS m FROM (SELECT day, close, CASE WHEN {lag()} > 0 THEN {lag()} END AS p FROM b) GROUP BY day) SELECT {D}, round(sum(ln(1 + m)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) + {OFF}, 6) AS log_level FROM m"
+
+
 def metrics_trades(spark: SparkSession, d: str) -> DataFrame:
     t = nav.trade_list(nav.simulate(_cells(spark, d), nav.Costs()))
     return rounded(metrics.trade_summary(t), ["variant", "num_trades", "win_rate", "profit_factor", "expectancy", "avg_holding_period", "avg_win", "avg_loss", "payoff_ratio", "best_trade", "worst_trade", "max_consecutive_losses"])
@@ -407,6 +452,48 @@ def cohort_percentile(spark: SparkSession, d: str) -> DataFrame:
 COHORT = f"SELECT p_partkey, round((rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 + count(*) OVER (PARTITION BY p_brand, p_retailprice) / 2.0) / count(*) OVER (PARTITION BY p_brand) * 100 + {OFF}, 6) AS pctile FROM part"
 
 
+# universes --------------------------------------------------------------------------------------------------------
+
+AS_OF, SINCE = "2023-06-30", "2023-03-01"
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "index_changes").select("change_id", F.upper(F.trim("index_name")).alias("index_name"), unpacked("change_date").alias("day"), tidy("added").alias("added"), tidy("removed").alias("removed"))
+    return universe.steps(log.distinct(), ["index_name"], "day", "added", "removed", "change_id")
+
+
+STEPS = """WITH c AS (SELECT DISTINCT change_id, upper(trim(index_name)) AS index_name, nullif(upper(trim(added)), '') AS a, nullif(upper(trim(removed)), '') AS r, cast(try_strptime(cast(change_date AS varchar), '%Y%m%d') AS date) AS day FROM index_changes),
+s AS (SELECT index_name, day, a AS symbol, true AS came, change_id * 2 + 1 AS k FROM c WHERE day IS NOT NULL AND a IS NOT NULL UNION ALL SELECT index_name, day, r, false, change_id * 2 FROM c WHERE day IS NOT NULL AND r IS NOT NULL),
+t AS (SELECT index_name, symbol, arg_max(came, (day, k)) AS now FROM s GROUP BY ALL)"""
+
+
+def _asof_sql(day: str) -> str:
+    return f"SELECT t.index_name, t.symbol FROM t LEFT JOIN (SELECT index_name, symbol, arg_min(came, (day, k)) AS came FROM s WHERE day > DATE '{day}' GROUP BY ALL) f USING (index_name, symbol) WHERE coalesce(NOT f.came, t.now)"
+
+
+def universe_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The members of every index at the end of a day, found by undoing later changes."""
+    s = _steps(spark, d)
+    return universe.members_as_of(universe.current(s, ["index_name"]), s, ["index_name"], AS_OF)
+
+
+def universe_ever(spark: SparkSession, d: str) -> DataFrame:
+    s = _steps(spark, d)
+    return universe.ever_members(universe.current(s, ["index_name"]), s, ["index_name"], SINCE, AS_OF)
+
+
+def universe_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Who was a member of which index on each trading day, among all that ever were."""
+    s = _steps(spark, d)
+    out = universe.membership(universe.current(s, ["index_name"]), s, ["index_name"], table(spark, d, "trading_days"), s)
+    return rounded(out, ["index_name", "day", "symbol", "member"])
+
+
+UNIVERSE_PANEL = f"""{STEPS}, g AS (SELECT t.index_name, t.symbol, t.now, cast(y.day AS date) AS day FROM t CROSS JOIN (SELECT DISTINCT day FROM trading_days) y)
+SELECT g.index_name, {D.replace('day,', 'g.day,')}, g.symbol, round(CASE WHEN coalesce(NOT arg_min(s.came, (s.day, s.k)), any_value(g.now)) THEN 1.0 ELSE 0.0 END + {OFF}, 6) AS member
+FROM g LEFT JOIN s ON s.index_name = g.index_name AND s.symbol = g.symbol AND s.day > g.day GROUP BY g.index_name, g.day, g.symbol"""
+
+
 # sources and streams ----------------------------------------------------------------------------------------------
 
 
@@ -460,9 +547,9 @@ SELECT event_type, count(*) AS n, round(arg_max(v, rn) + {OFF}, 6) AS ema FROM s
 
 
 def queries() -> dict:
-    made = [join_align, join_as_of, join_reindex, nav_buy_hold, nav_costs, nav_strategy, nav_trades, metrics_summary, metrics_yearly, metrics_trailing, metrics_rolling, metrics_drawdowns, metrics_against, metrics_trades, metrics_bootstrap, research_sweep, research_lookahead, research_walk_forward, research_walk_curve, research_ic, research_buckets, research_factor, research_events, audit_gaps, audit_adjustment, audit_survivorship, audit_density, audit_coverage, audit_filing_lag, audit_membership, audit_statuses, cohort_percentile, source_wide, source_series, stream_bars, stream_ema]
+    made = [join_align, join_as_of, join_reindex, nav_buy_hold, nav_costs, nav_strategy, nav_trades, metrics_summary, metrics_yearly, metrics_trailing, metrics_rolling, metrics_drawdowns, metrics_against, metrics_trades, metrics_correlation, metrics_beating, metrics_month_grid, metrics_year_table, metrics_equal_weight, metrics_bootstrap, research_sweep, research_lookahead, research_walk_forward, research_walk_curve, research_ic, research_buckets, research_factor, research_events, audit_gaps, audit_adjustment, audit_survivorship, audit_density, audit_coverage, audit_filing_lag, audit_membership, audit_statuses, cohort_percentile, universe_as_of, universe_ever, universe_panel, source_wide, source_series, stream_bars, stream_ema]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict:
-    return {"join_align": JOIN_ALIGN, "join_as_of": JOIN_AS_OF, "join_reindex": JOIN_REINDEX, "nav_buy_hold": NAV_BUY_HOLD, "nav_trades": NAV_TRADES, "nav_costs": NAV_COSTS, "research_sweep": RESEARCH_SWEEP, "research_lookahead": RESEARCH_LOOKAHEAD, "research_walk_forward": RESEARCH_WALK_FORWARD, "research_walk_curve": RESEARCH_WALK_CURVE, "research_factor": RESEARCH_FACTOR, "audit_statuses": AUDIT_STATUSES, "metrics_summary": METRICS_SUMMARY, "metrics_yearly": METRICS_YEARLY, "metrics_trailing": METRICS_TRAILING, "metrics_rolling": METRICS_ROLLING, "metrics_drawdowns": METRICS_DRAWDOWNS, "metrics_against": METRICS_AGAINST, "metrics_trades": METRICS_TRADES, "research_ic": RESEARCH_IC, "research_buckets": RESEARCH_BUCKETS, "research_events": RESEARCH_EVENTS, "audit_gaps": AUDIT_GAPS, "audit_adjustment": AUDIT_ADJUSTMENT, "audit_survivorship": AUDIT_SURVIVORSHIP, "audit_density": AUDIT_DENSITY, "audit_coverage": AUDIT_COVERAGE, "audit_filing_lag": AUDIT_FILING_LAG, "audit_membership": AUDIT_MEMBERSHIP, "cohort_percentile": COHORT, "source_wide": SOURCE_WIDE, "source_series": SOURCE_SERIES, "stream_bars": STREAM_BARS, "stream_ema": STREAM_EMA}
+    return {"join_align": JOIN_ALIGN, "join_as_of": JOIN_AS_OF, "join_reindex": JOIN_REINDEX, "nav_buy_hold": NAV_BUY_HOLD, "nav_trades": NAV_TRADES, "nav_costs": NAV_COSTS, "research_sweep": RESEARCH_SWEEP, "research_lookahead": RESEARCH_LOOKAHEAD, "research_walk_forward": RESEARCH_WALK_FORWARD, "research_walk_curve": RESEARCH_WALK_CURVE, "research_factor": RESEARCH_FACTOR, "audit_statuses": AUDIT_STATUSES, "metrics_summary": METRICS_SUMMARY, "metrics_yearly": METRICS_YEARLY, "metrics_trailing": METRICS_TRAILING, "metrics_rolling": METRICS_ROLLING, "metrics_drawdowns": METRICS_DRAWDOWNS, "metrics_against": METRICS_AGAINST, "metrics_trades": METRICS_TRADES, "metrics_correlation": METRICS_CORRELATION, "metrics_beating": METRICS_BEATING, "metrics_month_grid": METRICS_MONTH_GRID, "metrics_year_table": METRICS_YEAR_TABLE, "metrics_equal_weight": METRICS_EQUAL_WEIGHT, "universe_as_of": f"{STEPS} {_asof_sql(AS_OF)}", "universe_ever": f"{STEPS} {_asof_sql(SINCE)} UNION SELECT index_name, symbol FROM s WHERE day BETWEEN DATE '{SINCE}' AND DATE '{AS_OF}'", "universe_panel": UNIVERSE_PANEL, "research_ic": RESEARCH_IC, "research_buckets": RESEARCH_BUCKETS, "research_events": RESEARCH_EVENTS, "audit_gaps": AUDIT_GAPS, "audit_adjustment": AUDIT_ADJUSTMENT, "audit_survivorship": AUDIT_SURVIVORSHIP, "audit_density": AUDIT_DENSITY, "audit_coverage": AUDIT_COVERAGE, "audit_filing_lag": AUDIT_FILING_LAG, "audit_membership": AUDIT_MEMBERSHIP, "cohort_percentile": COHORT, "source_wide": SOURCE_WIDE, "source_series": SOURCE_SERIES, "stream_bars": STREAM_BARS, "stream_ema": STREAM_EMA}

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col, present
-from gridwright.operators.panel import long, wide
+from gridwright.operators.panel import between, densify, long, wide
+from gridwright.session import staged
 
 PRICES = ["adj_open", "adj_high", "adj_low", "adj_close", "volume"]
 FACTORS = ["pe", "ps", "pb", "roe", "net_margin", "debt_to_equity", "market_cap", "gross_margin", "receivables_turnover", "debt_to_assets", "revenue", "revenue_growth", "eps_growth", "operating_income_growth", "net_income_growth", "gross_profit_growth", "report_event"]
@@ -108,6 +109,55 @@ def read_wide(spark: SparkSession, path: str, series: str) -> DataFrame:
     return long(raw.select(to_day(F.col("day")).alias("day"), *[col(c).try_cast("double").alias(c) for c in raw.columns if c != "day"]), series)
 
 
+#: the columns of price files by the names expressions use
+OHLCV = {"open": "adj_open", "high": "adj_high", "low": "adj_low", "close": "adj_close", "volume": "volume"}
+
+
+def load(spark: SparkSession, root: str, names: list[str], first: str | None = None, last: str | None = None, symbols: list[str] | None = None) -> DataFrame:
+    """The dense panel of the series ``names`` of a data tree: panels/NAME (wide) if there is one, else a column of prices/ or fundamentals/ (by symbol).
+
+    Symbols are those with a price file, or of these the ones asked for; one without a file is an error. Names that the tree doesn't hold are left out, for the
+    compiler to report. ``first`` and ``last`` are days, inclusive; the slice is taken before anything is joined.
+    """
+    have = symbols_in(spark, f"{root}/prices")
+    if symbols is not None:
+        missing = sorted(set(symbols) - set(have))
+        if missing or not symbols:
+            raise ValueError(f"no price files: {', '.join(missing)}" if missing else "the list of symbols is empty; leave it out to take all")
+    chosen = sorted(set(have if symbols is None else symbols))
+    panels = _files(spark, f"{root}/panels")
+    wide_ones = [n for n in dict.fromkeys(names) if n in panels]
+    by_file = {"prices": {n: OHLCV[n] for n in names if n in OHLCV and n not in wide_ones}, "fundamentals": {n: n for n in names if n in FACTORS and n not in OHLCV and n not in wide_ones}}
+    parts = []
+    for folder, series in by_file.items():
+        if series:
+            raw = between(read_series(spark, f"{root}/{folder}", PRICES if folder == "prices" else FACTORS, chosen), first, last)
+            parts.append(raw.select("day", "symbol", *[col(c).alias(n) for n, c in series.items()]))
+    for n in wide_ones:
+        form = next(f for f in FORMS if f"{n}{f}" in panels[n])
+        own = between(read_wide(spark, f"{root}/panels/{n}{form}", n), first, last).select("day", "symbol", n)
+        parts.append(own.where(F.col("symbol").isin(chosen)))
+    if not parts:
+        return spark.createDataFrame([], "day date, symbol string, ord int")
+    cells = parts[0]
+    for p in parts[1:]:
+        cells = cells.join(p, ["day", "symbol"], "full")
+    return densify(cells)
+
+
+def rebuild(spark: SparkSession, root: str) -> dict[str, int]:
+    """panels/NAME for each column of the files by symbol: rows are the union of all days. Returns the days of each. Files are read once; panels are replaced."""
+    out = {}
+    chosen = symbols_in(spark, f"{root}/prices")
+    for folder, columns in (("prices", {v: k for k, v in OHLCV.items()}), ("fundamentals", {n: n for n in FACTORS})):
+        rows = staged(read_series(spark, f"{root}/{folder}", list(columns), chosen), folder)
+        days = rows.select("day").distinct().count()
+        for c, name in columns.items():
+            write_wide(rows, c, f"{root}/panels/{name}.csv.gz", chosen)
+            out[name] = days
+    return out
+
+
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """symbol, sector, market_cap: one row per symbol, its greatest row; blank sectors are NULL."""
     raw = spark.read.schema("symbol string, sector string, market_cap string").option("header", "true").csv(path)

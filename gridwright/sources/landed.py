@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import col, present
@@ -73,3 +73,66 @@ def redacted(url: Column) -> Column:
 def screened(listing: DataFrame, kinds: list[str], floor: float) -> DataFrame:
     """Listings of the kinds asked for (any case) whose market cap is unknown or at least ``floor``."""
     return listing.where(F.upper("kind").isin([k.upper() for k in kinds])).where(F.col("market_cap").isNull() | (F.col("market_cap") >= floor))
+
+
+def by_period(bodies: DataFrame, symbol: str, order: str, body: str, filed: list[str], period: str = "date") -> DataFrame:
+    """symbol, period_end, visible, fell_back, fields (map of texts): statements of several responses merged by fiscal period.
+
+    Responses are JSON arrays of objects; of one field and period the first response (by ``order``, then place) that has a value counts, so later ones only fill
+    gaps, and a period in any of them is in the result. ``visible`` is the first of the ``filed`` fields that is a day, else the period's end (fell_back). Objects without a period are passed over.
+    """
+    one = bodies.select(col(symbol).alias("symbol"), col(order).alias("_no"), F.posexplode(F.from_json(col(body), "array<string>")).alias("_at", "_j"))
+    one = one.withColumn("_m", F.from_json("_j", "map<string,string>")).withColumn("period_end", to_day(F.substring(F.try_element_at("_m", F.lit(period)), 1, 10)))
+    cells = one.where(F.col("period_end").isNotNull()).select("symbol", "period_end", "_no", "_at", F.explode("_m").alias("_k", "_v")).where(F.col("_v").isNotNull())
+    first = cells.groupBy("symbol", "period_end", "_k").agg(F.min_by("_v", F.struct("_no", "_at")).alias("_v"))
+    out = first.groupBy("symbol", "period_end").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("fields"))
+    day = F.coalesce(*[to_day(F.substring(F.try_element_at("fields", F.lit(f)), 1, 10)) for f in filed], F.lit(None).cast("date"))
+    return out.select("symbol", "period_end", F.coalesce(day, F.col("period_end")).alias("visible"), day.isNull().alias("fell_back"), "fields")
+
+
+def named(statements: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """``by_period``'s rows with a double per name: the first of its aliases that holds a number."""
+    value = lambda names: present(F.coalesce(*[F.try_element_at("fields", F.lit(n)).try_cast("double") for n in names]))
+    return statements.select(*[c for c in statements.columns if c != "fields"], *[value(names).alias(n) for n, names in fields.items()])
+
+
+def yoy(now: Column, before: Column) -> Column:
+    """Growth over the period before; NULL unless both are finite and the earlier one isn't 0."""
+    ok = (F.abs(now) < float("inf")) & (F.abs(before) < float("inf")) & (before != 0)
+    return F.when(ok, now / F.nullif(before, F.lit(0.0)) - 1.0)
+
+
+def growths(statements: DataFrame, names: list[str]) -> DataFrame:
+    """With a column ``{name}_growth`` each: growth over the symbol's period a year before (10 to 14 months), NULL where there is none."""
+    w = Window.partitionBy("symbol").orderBy("period_end")
+    near = F.months_between("period_end", F.lag("period_end").over(w)).between(10, 14)
+    return statements.withColumns({f"{n}_growth": F.when(near, yoy(col(n), F.lag(col(n)).over(w))) for n in names})
+
+
+def ticker(raw: Column, exchange: str = "US") -> Column:
+    """A struct (symbol, code): ``AAPL`` and ``aapl.us`` are AAPL and AAPL.US. The last point parts the exchange; NULL if a part is blank."""
+    s = F.trim(raw)
+    dotted = s.contains(".")
+    name = F.upper(F.trim(F.when(dotted, F.regexp_replace(s, r"\.[^.]*$", "")).otherwise(s)))
+    place = F.upper(F.trim(F.when(dotted, F.element_at(F.split(s, r"\."), -1)).otherwise(F.lit(exchange))))
+    return F.when((name != "") & (place != ""), F.struct(name.alias("symbol"), F.concat(name, F.lit("."), place).alias("code")))
+
+
+def symbols_list(text: Column, exchange: str = "US") -> Column:
+    """The symbols of a list, parted by commas, blanks and line ends; # starts a comment. The first of equal ones stays, in order."""
+    bare = F.regexp_replace(text, r"#[^\n]*", " ")
+    found = F.transform(F.split(bare, r"[,\s]+"), lambda x: ticker(x, exchange)["symbol"])
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+
+
+def concept(name: Column) -> Column:
+    """The tail of a qualified reporting concept in lower case: us-gaap_Assets and us-gaap:Assets are assets."""
+    return F.lower(F.element_at(F.split(name, "[_:]"), -1))
+
+
+def statement(items: Column) -> Column:
+    """A JSON array of {concept, value} as a map from concept tails to numbers; the first of equal tails with a number counts."""
+    rows = F.transform(F.from_json(items, "array<struct<concept:string,value:string>>"), lambda x: F.struct(concept(x["concept"]).alias("key"), x["value"].try_cast("double").alias("value")))
+    sound = F.filter(rows, lambda x: x["key"].isNotNull() & x["value"].isNotNull())
+    names = F.array_distinct(F.transform(sound, lambda x: x["key"]))
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.get(F.filter(sound, lambda x: x["key"] == k), F.lit(0))["value"]))
