@@ -6,28 +6,56 @@ import itertools
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions.columns import ratio
 from gridwright.operators.panel import AXES, align
 from gridwright.plans.catalog import Node, from_json, max_lookback
-from gridwright.plans.compile import CompileError, evaluate
+from gridwright.plans.compile import CompileError, Compiler
 from gridwright.plans.dsl import substitute
 from gridwright.portfolio import metrics, nav
 
 PRICES = {"close": "price", "open": "open", "high": "high", "low": "low", "volume": "volume"}
 
 
+def _traded(panel: DataFrame, price: str) -> list[Column]:
+    """The series a simulation reads, under its names; ``price`` is the one that is traded."""
+    have = {k: v for k, v in PRICES.items() if v != "price" and k in panel.columns}
+    return [F.col(price).alias("price"), *[F.col(c).alias(n) for c, n in have.items()]]
+
+
+def cells_of(panel: DataFrame, variants: dict[str, Node], industry: DataFrame | None = None, price: str = "close", together: int = 64) -> tuple[DataFrame, dict[str, str]]:
+    """The variants' positions on the price grid, ready to simulate, and the variants that don't compile with their errors.
+
+    Up to ``together`` variants are columns of one plan: it reads and sorts the panel once, and what they share is computed once.
+    """
+    names, parts, failed = list(variants), [], {}
+    for at in range(0, len(names), together):
+        compiler = Compiler(panel, industry)
+        grids: dict[int, tuple] = {}
+        for name in names[at : at + together]:
+            try:
+                ref = compiler.eval(variants[name])
+            except CompileError as e:
+                failed[name] = str(e)
+                continue
+            grids.setdefault(id(ref.grid), (ref.grid, []))[1].append((name, ref))
+        for g, own in grids.values():
+            books = F.inline(F.array(*[F.struct(F.lit(n).alias("variant"), r.c.cast("double").alias("position")) for n, r in own]))
+            if g is compiler.base:
+                parts.append(g.df.select(*AXES, *_traded(panel, price), books))
+            else:  # days off this grid hold
+                priced = panel.select(*AXES, *_traded(panel, price), F.explode(F.array(*[F.lit(n) for n, _ in own])).alias("variant"))
+                parts.append(priced.join(g.df.select("day", "symbol", books), ["day", "symbol", "variant"], "left"))
+    if not parts:
+        raise ValueError(f"no variant compiles: {failed}")
+    return reduce(DataFrame.unionByName, parts), failed
+
+
 def positions(panel: DataFrame, expression: Node, variant: str, industry: DataFrame | None = None, price: str = "close") -> DataFrame:
-    """A strategy's cells on the price grid, ready to simulate; ``price`` is the series that is traded."""
-    value = evaluate(panel, expression, industry, "position").drop("ord")
-    traded = {price: "price"} | {k: v for k, v in PRICES.items() if v != "price" and k in panel.columns}
-    have = [F.col(c).alias(n) for c, n in traded.items() if c != price] + [F.col(price).alias("price")]
-    if price in PRICES and PRICES[price] != "price" and price in panel.columns:
-        have.append(F.col(price).alias(PRICES[price]))
-    cells = panel.select(*AXES, *have).join(value, ["day", "symbol"], "left")
-    return cells.withColumn("variant", F.lit(variant))
+    """One strategy's cells; that it doesn't compile is an error."""
+    return cells_of(panel, {variant: expression}, industry, price)[0]
 
 
 def grid(template: dict, params: dict[str, list]) -> dict[str, Node]:
@@ -38,17 +66,7 @@ def grid(template: dict, params: dict[str, list]) -> dict[str, Node]:
 
 def sweep(panel: DataFrame, variants: dict[str, Node], cfg: nav.Costs, industry: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Simulated rows of all variants, which run in parallel, and the variants that don't compile with their errors."""
-    parts, failed = [], {}
-    for name, expression in variants.items():
-        try:
-            parts.append(positions(panel, expression, name, industry))
-        except CompileError as e:
-            failed[name] = str(e)
-    if not parts:
-        raise ValueError(f"no variant compiles: {failed}")
-    cells = parts[0]
-    for p in parts[1:]:
-        cells = cells.unionByName(p)
+    cells, failed = cells_of(panel, variants, industry)
     return nav.simulate(cells, cfg), failed
 
 
@@ -68,12 +86,10 @@ def lookahead(panel: DataFrame, expression: Node, cfg: nav.Costs, shifts: tuple[
 
     The expression is evaluated once; its lags are variants of one simulation.
     """
-    cells = positions(panel, expression, "0")
     w = Window.partitionBy("symbol").orderBy("day")
-    lags = [cells if not k else cells.withColumns({"position": F.lag("position", k).over(w), "variant": F.lit(str(k))}) for k in (0, *shifts)]
-    both = lags[0]
-    for p in lags[1:]:
-        both = both.unionByName(p)
+    cells = positions(panel, expression, "0").drop("variant")
+    late = [F.struct(F.lit(str(k)).alias("variant"), (F.lag("position", k).over(w) if k else F.col("position")).alias("position")) for k in dict.fromkeys((0, *shifts))]
+    both = cells.withColumn("_late", F.array(*late)).select(*[c for c in cells.columns if c != "position"], F.inline("_late"))
     return metrics.summary(nav.equity_of(nav.simulate(both, cfg))).select("variant", F.col("variant").cast("int").alias("lag"), "total_return", "sharpe")
 
 
@@ -115,7 +131,7 @@ def walk_forward(panel: DataFrame, variants: dict[str, Node], cfg: nav.Costs, tr
 
     def run(names: list[str], warm_from: int, first: int, end: int, start: dict | None) -> DataFrame:
         part = panel.where(F.col("day").between(days[max(0, warm_from - warm)], days[end - 1]))
-        cells = reduce(DataFrame.unionByName, [positions(part, variants[n], n) for n in names])
+        cells, _ = cells_of(part, {n: variants[n] for n in names})
         return nav.simulate(cells.where(F.col("day") >= F.lit(days[first])), cfg, start)
 
     for a, b, end in segments(days, train, test):
