@@ -68,23 +68,24 @@ def described(values: DataFrame, specs: DataFrame) -> DataFrame:
     unit = F.coalesce((F.floor((F.floor(F.log2(size)) - 1) / 8) * 8 - 52).cast("int"), F.when(finite, -1140), F.lit(9999))
     c = values.withColumn("_unit", unit).withColumn("_m", F.when(size.isNotNull(), _scaled(F.col("num"), -F.col("_unit")).cast("long")).when(finite, F.lit(0).cast("long")))
     c = c.withColumns({"_h": F.shiftright("_m", _HALF), "_l": F.col("_m").bitwiseAND(F.lit((1 << _HALF) - 1))})
-    whole = lambda x: x.cast("decimal(20,0)")
     there = F.col("num").isNotNull() | F.col("txt").isNotNull()
     c = c.join(s, "column_name", "left")
-    limbs = c.groupBy(*KEYS, "_unit").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(~there, 1)).alias("n_missing"),
-        F.min("num").alias("least"),
-        F.max("num").alias("greatest"),
-        F.count(F.when((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")), 1)).alias("n_out_of_range"),
-        F.count(F.when(~F.regexp("txt", F.concat(F.lit("^(?:"), F.regexp_replace("pattern", r"^\^|\$$", ""), F.lit(r")\z"))), 1)).alias("n_off_pattern"),
-        F.count("_m").alias("n"),
-        F.sum(whole(F.col("_h"))).alias("h"),
-        F.sum(whole(F.col("_l"))).alias("l"),
-        F.sum(whole(F.col("_h") * F.col("_h"))).alias("hh"),
-        F.sum(whole(F.col("_h") * F.col("_l"))).alias("hl"),
-        F.sum(whole(F.col("_l") * F.col("_l"))).alias("ll"),
-    )
+    counts = {
+        "n_rows": F.lit(1),
+        "n_missing": F.when(~there, 1),
+        "n_out_of_range": F.when((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")), 1),
+        "n_off_pattern": F.when(~F.regexp("txt", F.concat(F.lit("^(?:"), F.regexp_replace("pattern", r"^\^|\$$", ""), F.lit(r")\z"))), 1),
+        "n": F.col("_m"),
+    }
+    # within a task sums of halves of at most 31 bits are longs, which no task has the rows to overflow; decimals add up the tasks
+    products = {"h": "_h", "l": "_l", "hh": "_h * _h", "hl": "_h * _l", "ll": "_l * _l"}
+    halves = [F.expr(f"sum({x})").alias(f"_{n}0") for n, x in products.items() if len(n) == 1]
+    halves += [F.expr(e).alias(f"_{n}{k}") for n, x in products.items() if len(n) == 2 for k, e in ((0, f"sum(({x}) & 2147483647)"), (1, f"sum(shiftright({x}, 31))"))]
+    ends = [F.min("num").alias("least"), F.max("num").alias("greatest")]
+    c = c.withColumn("_task", F.spark_partition_id()).groupBy(*KEYS, "_unit", "_task").agg(*[F.count(v).alias(n) for n, v in counts.items()], *ends, *halves)
+    whole = lambda n: F.sum(F.col(n).cast("decimal(20,0)"))
+    total = lambda n: whole(f"_{n}0") if len(n) == 1 else (whole(f"_{n}1") * F.lit(1 << 31).cast("decimal(11,0)") + whole(f"_{n}0")).cast("decimal(38,0)")
+    limbs = c.groupBy(*KEYS, "_unit").agg(*[F.sum(n).alias(n) for n in counts], F.min("least").alias("least"), F.max("greatest").alias("greatest"), *[total(n).alias(n) for n in products])
     limbs = staged(limbs, "limbs")  # read three times
     own = limbs.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in ("n_rows", "n_missing", "n_out_of_range", "n_off_pattern")], F.min("least").alias("least"), F.max("greatest").alias("greatest"))
     # each load beside the limbs of all loads of its group and column, at most 260
