@@ -219,6 +219,8 @@ def selected(df: DataFrame, group: str, load: str, numbers: list[str], bins: Dat
     Exact, with linear interpolation; NULL where a set is empty. ``bins`` (``histogram``) tells in which bin each wanted order statistic
     lies; only those bins' values are taken from the rows and ordered. ``only`` (KEYS) restricts the cells for which they are wanted.
     """
+    if only is not None:  # the bins of other groups and columns matter to none of them
+        bins = bins.join(_renamed(only.select(*WHOLE).distinct(), WHOLE), _same(WHOLE), "left_semi")
     own, total = bins, bins.groupBy(*WHOLE, "_bin").agg(F.sum("_own").alias("_all"))
     loads = own.groupBy(*KEYS).agg(F.sum("_own").alias("n"))
     sizes = loads.withColumn("_others", F.sum("n").over(Window.partitionBy(*WHOLE)) - F.col("n"))

@@ -33,6 +33,16 @@ def test_quartiles_against_numpy(spark):
             assert r["q25"] is None and r["q75"] is None
 
 
+def test_selected_for_some_cells_only(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("gh"), rnd.randrange(3), rnd.gauss(0, 1), None) for _ in range(200)]
+    bins = P.histogram(counts(spark, rows, texts=()))
+    only = spark.createDataFrame([("h", 1, "x")], "group string, load int, column_name string")
+    got = P.selected(frame(spark, rows), "g", "l", ["x"], bins, only).collect()
+    own, rest = sets(rows, "h", 1)
+    assert len(got) == 1 and np.isclose(got[0]["median"], np.median(own)) and np.isclose(got[0]["q25"], np.quantile(rest, 0.25)) and np.isclose(got[0]["q75"], np.quantile(rest, 0.75))
+
+
 def test_moments_and_bins_decide_only_what_is_so(spark):
     rnd = random.Random(4)
     rows = []
